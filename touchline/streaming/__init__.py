@@ -1,0 +1,5 @@
+"""Intentionally empty: every entry point of this library is a batch job over tables.
+
+The rules that concern event order (odds observed before the cutoff, cutoff before kick-off,
+no result of the same day visible) are batch operators in ``touchline.operators``.
+"""
