@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.catalog import views
 from touchline.catalog.registry import query, r6
 from touchline.functions.odds import implied_probabilities
+from touchline.functions.text import season_index
 from touchline.operators import elo as elo_ops
 from touchline.operators import features as ft
 from touchline.operators import form
@@ -47,7 +48,7 @@ from (select division, season, team, count(*) as pj, cast(sum(pts) as bigint) as
     cast(sum(case when pts = 0 then 1 else 0 end) as bigint) as pp, cast(sum(gf) as bigint) as gf, cast(sum(ga) as bigint) as ga,
     cast(sum(gf) - sum(ga) as bigint) as gd from t group by division, season, team) x""")
 def league_table(spark: SparkSession, sf: str) -> DataFrame:
-    table = form.final_standings(form.team_rows(form.played(views.matches(spark, sf))))
+    table = form.final_standings(form.team_rows(form.played(views.matches(spark, sf)), form.GOALS))
     return table.withColumn("position", F.col("position").cast("bigint")).withColumn("ppg", F.round("ppg", 6))
 
 
@@ -61,7 +62,7 @@ select division, season, team, match_date as date, cast(coalesce(sum(pj) over w,
   cast(coalesce(sum(ga) over w, 0) as bigint) as ga
 from d window w as (partition by division, season, team order by match_date rows between unbounded preceding and 1 preceding)""")
 def standings_before_match_day(spark: SparkSession, sf: str) -> DataFrame:
-    rows = form.standings_before(form.team_rows(form.played(views.matches(spark, sf))))
+    rows = form.standings_before(form.team_rows(form.played(views.matches(spark, sf)), form.GOALS))
     return rows.drop("pp")
 
 
@@ -250,8 +251,6 @@ def walk_forward_splits(spark: SparkSession, sf: str) -> DataFrame:
     counts = views.matches(spark, sf).groupBy("season", "division").agg(F.count(F.lit(1)).alias("n"))
     # One row per season and division is all that is left to compare.
     targets = counts.select(F.col("season").alias("target")).distinct()
-    from touchline.functions.text import season_index
-
     earlier = season_index(F.col("season")) < season_index(F.col("target"))
     pairs = counts.withColumn("_one", F.lit(1)).join(targets.withColumn("_one", F.lit(1)), "_one")
     return pairs.groupBy("target", "division").agg(
