@@ -22,7 +22,7 @@ def _odd(columns: tuple[str, ...]) -> str:
 
 # The derived rows have B365 columns only, so those are the preference lists in effect.
 FACTS = RAW + f""", a as (select *, trim("HomeTeam") as ht, trim("AwayTeam") as at_,
-    coalesce(try_strptime(trim("Date"), '%d/%m/%Y'), try_strptime(trim("Date"), '%d/%m/%y'), try_strptime(trim("Date"), '%Y-%m-%d'),
+    coalesce(try_strptime(trim("Date"), '%d/%m/%y'), try_strptime(trim("Date"), '%d/%m/%Y'), try_strptime(trim("Date"), '%Y-%m-%d'),
       try_strptime(trim("Date"), '%d-%m-%Y')) as ts,
     case upper(trim("FTR")) when 'H' then '1' when 'D' then 'X' when 'A' then '2' end as res, {_NUMBER.format(c='"FTHG"')} as hg, {_NUMBER.format(c='"FTAG"')} as ag,
     {_odd(("B365H",))} as o1, {_odd(("B365D",))} as ox, {_odd(("B365A",))} as o2,

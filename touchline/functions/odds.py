@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline import settings
 from touchline.functions.text import parse_number
 
 
+# Prefix of parsed odds columns.
+PARSED = "_parsed_"
+
+
 def normalise_result(code: Column) -> Column:
     text = F.upper(F.trim(code.cast("string")))
     return (
@@ -24,26 +28,32 @@ def result_from_goals(home: Column, away: Column) -> Column:
     return F.when(home > away, "1").when(home < away, "2").when(home == away, "X")
 
 
-def _present(columns: Sequence[str], available: Sequence[str]) -> list[str]:
+def with_parsed_odds(df: DataFrame) -> DataFrame:
+    """Parse every odds column once, into a column the lookups below read."""
+    parsed = [c for c in settings.odds_columns() if c in df.columns]
+    return df.withColumns({f"{PARSED}{c}": parse_number(F.col(c)) for c in parsed})
+
+
+def without_parsed_odds(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(PARSED)])
+
+
+def _present(columns: Sequence[str], available: Sequence[str]) -> list[tuple[str, Column]]:
     known = set(available)
-    return [c for c in columns if c in known]
+    return [
+        (c, F.col(f"{PARSED}{c}") if f"{PARSED}{c}" in known else parse_number(F.col(c))) for c in columns if c in known
+    ]
 
 
 def first_valid_odds(columns: Sequence[str], available: Sequence[str]) -> Column:
     """First column, in order of preference, that holds playable odds."""
-    values = []
-    for name in _present(columns, available):
-        value = parse_number(F.col(name))
-        values.append(F.when(value > settings.MIN_ODDS, value))
+    values = [F.when(value > settings.MIN_ODDS, value) for _, value in _present(columns, available)]
     return F.coalesce(*values) if values else F.lit(None).cast("double")
 
 
 def first_valid_source(columns: Sequence[str], available: Sequence[str]) -> Column:
     """Name of the column ``first_valid_odds`` takes its value from."""
-    names = [
-        F.when(parse_number(F.col(name)) > settings.MIN_ODDS, name)
-        for name in _present(columns, available)
-    ]
+    names = [F.when(value > settings.MIN_ODDS, name) for name, value in _present(columns, available)]
     return F.coalesce(*names) if names else F.lit(None).cast("string")
 
 

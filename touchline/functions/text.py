@@ -92,41 +92,33 @@ def all_blank(columns: list[Column]) -> Column:
     return F.trim(F.concat_ws("", *columns)) == ""
 
 
+# Digits are bounded so that every accepted text is a finite double.
+_NUMBER = r"^[+-]?([0-9]{1,200}\.?[0-9]{0,200}|\.[0-9]{1,200})([eE][+-]?[0-9]{1,2})?$"
+
+
 def parse_number(text: Column) -> Column:
     """Locale-tolerant finite double: comma or point decimals, otherwise NULL."""
     value = F.replace(F.trim(text), F.lit(","), F.lit("."))
-    valid = value.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-    number = F.when(valid, value).try_cast("double")
-    return F.when(F.abs(number) < float("inf"), number)
-
-
-# Accepted date layouts in order of preference. Groups name day, month and year.
-_DATE_LAYOUTS = (
-    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$", (3, 2, 1)),
-    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", (3, 2, 1)),
-    (r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", (1, 2, 3)),
-    (r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$", (3, 2, 1)),
-    (r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{2})$", (3, 2, 1)),
-    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", (1, 2, 3)),
+    return F.regexp_extract(value, _NUMBER, 0).try_cast("double")
+
+
+# Accepted date layouts, rewritten one after the other to year-month-day.
+# Two-digit years pivot at 1969.
+_DATE_REWRITES = (
+    (r"^([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{4})$", "$4-$3-$1"),
+    (r"^([0-9]{1,2})([/-])([0-9]{1,2})\2(69|[7-9][0-9])$", "19$4-$3-$1"),
+    (r"^([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{2})$", "20$4-$3-$1"),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"),
+    (r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([01][0-9]|2[0-3])(:[0-5][0-9]){0,2}([.,][0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?$", "$1"),
 )
 
 
 def parse_date(text: Column) -> Column:
-    """First layout that yields a calendar date; two-digit years pivot at 1969."""
-    raw = F.trim(text)
-    found = []
-    for pattern, (year, month, day) in _DATE_LAYOUTS:
-        y = F.regexp_extract(raw, pattern, year)
-        century = F.when(F.length(y) == 2, F.when(y >= "69", "19").otherwise("20")).otherwise("")
-        iso = F.concat(
-            century, y, F.lit("-"),
-            F.lpad(F.regexp_extract(raw, pattern, month), 2, "0"), F.lit("-"),
-            F.lpad(F.regexp_extract(raw, pattern, day), 2, "0"),
-        )
-        found.append(F.when(raw.rlike(pattern), iso).try_cast("date"))
-    stamp = F.when(raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}"), raw)
-    found.append(F.when(stamp.try_cast("timestamp").isNotNull(), F.substring(stamp, 1, 10)).try_cast("date"))
-    return F.coalesce(*found)
+    """First layout that yields a calendar date, otherwise NULL."""
+    value = F.trim(text)
+    for pattern, target in _DATE_REWRITES:
+        value = F.regexp_replace(value, pattern, target)
+    return F.regexp_extract(value, "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", 0).try_cast("date")
 
 
 def infer_season(date: Column) -> Column:

@@ -84,6 +84,7 @@ def row_facts(
     """Annotate every raw row with the facts all counters need. One projection, no shuffle."""
     if low >= high:
         raise ValueError("the lower overround limit must be below the upper one")
+    raw = odds.with_parsed_odds(raw)
     columns = raw.columns
     facts = raw.withColumns(
         {
@@ -204,7 +205,7 @@ def match_keys(facts: DataFrame) -> DataFrame:
 
 def exact_duplicates(facts: DataFrame) -> DataFrame:
     """Duplicates of whole rows within a file, compared by a digest of the trimmed cells."""
-    cells = [F.coalesce(F.trim(c), F.lit("")) for c in cleaning.source_columns(facts) if not c.startswith("_")]
+    cells = [F.coalesce(F.trim(c), F.lit("")) for c in cleaning.source_columns(facts)]
     hashed = facts.select(*FILE[:1], F.sha2(F.concat_ws("\u0001", *cells), 256).alias("digest"))
     return duplicate_metrics(hashed, ["digest"], FILE[:1]).agg(
         F.coalesce(F.sum("groups"), F.lit(0)).alias("groups"),

@@ -27,7 +27,10 @@ INTERNAL_META = ("_source_file", "_season", "_division", "_columns", "_line", "_
 
 def source_columns(df: DataFrame) -> list[str]:
     """Columns that come from the files themselves."""
-    return [c for c in df.columns if c not in INTERNAL_META and c not in META_COLUMNS]
+    return [
+        c for c in df.columns
+        if c not in INTERNAL_META and c not in META_COLUMNS and not c.startswith(("_", "market_move_"))
+    ]
 
 
 def _existing(df: DataFrame, names) -> list[Column]:
@@ -154,7 +157,7 @@ def sanitise(
 
     One projection over the scan: nothing here shuffles.
     """
-    out = init_lineage(raw).withColumns(
+    out = odds.with_parsed_odds(init_lineage(raw)).withColumns(
         {"source_file": F.col("_source_file"), "season": F.col("_season"), "division": F.col("_division")}
     )
     out = apply_aliases(out, aliases)
@@ -162,7 +165,7 @@ def sanitise(
     out = out.withColumn(
         LINEAGE, F.array_compact(F.array_append(LINEAGE, F.concat(F.lit("EXCLUDED:"), F.col(REASON))))
     )
-    return annotate_shots(annotate_odds(out, low, high))
+    return odds.without_parsed_odds(annotate_shots(annotate_odds(out, low, high)))
 
 
 def sanitise_stats(rows: DataFrame) -> DataFrame:
@@ -207,6 +210,7 @@ def split_outputs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def typed_matches(raw: DataFrame) -> DataFrame:
     """Typed match table of the model: parsed, completed by odds preference, incomplete rows dropped."""
+    raw = odds.with_parsed_odds(raw)
     present = set(raw.columns)
 
     def number(name: str) -> Column:
