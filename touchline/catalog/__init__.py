@@ -1,4 +1,4 @@
 """Queries of the library over the driver's tables."""
 
-from touchline.catalog import raw_data, team_state  # noqa: F401
+from touchline.catalog import outcomes, pools, raw_data, team_state  # noqa: F401
 from touchline.catalog.registry import REGISTRY  # noqa: F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline import settings
@@ -51,35 +51,32 @@ def dixon_coles_factor(hg: int, ag: int, home: Column, away: Column, rho: Column
     return F.lit(1.0)
 
 
-def score_cells(home: Column, away: Column, rho: Column | float, max_goals: int = settings.MAX_GOALS) -> Column:
-    """Array of structs (hg, ag, p) over the score grid; probabilities sum to 1. NULL without means."""
-    rho = F.lit(rho)
-    h = F.array(*[poisson_pmf(g, home) for g in range(max_goals + 1)])
-    a = F.array(*[poisson_pmf(g, away) for g in range(max_goals + 1)])
-    side = max_goals + 1
-
-    def cell(k: Column) -> Column:
-        hg, ag = F.floor(k / side).cast("int"), (k % side).cast("int")
-        factor = (
-            F.when((hg == 0) & (ag == 0), dixon_coles_factor(0, 0, home, away, rho))
-            .when((hg == 1) & (ag == 0), dixon_coles_factor(1, 0, home, away, rho))
-            .when((hg == 0) & (ag == 1), dixon_coles_factor(0, 1, home, away, rho))
-            .when((hg == 1) & (ag == 1), dixon_coles_factor(1, 1, home, away, rho))
-            .otherwise(1.0)
-        )
-        mass = F.greatest(F.get(h, hg) * F.get(a, ag) * factor, F.lit(FLOOR))
-        return F.struct(hg.alias("hg"), ag.alias("ag"), mass.alias("p"))
-
-    cells = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), cell)
-    return F.when(home.isNotNull() & away.isNotNull(), normalise_cells(cells))
+def with_score_cells(
+    df: DataFrame, rho: Column | float, home: str = "lambda_home", away: str = "lambda_away",
+    max_goals: int = settings.MAX_GOALS, name: str = "cells",
+) -> DataFrame:
+    """Add an array of structs (hg, ag, p) over the score grid; probabilities sum to 1.
 
-
-def normalise_cells(cells: Column) -> Column:
-    total = F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + c["p"])
-    paired = F.struct(cells.alias("cells"), total.alias("total"))
-    return F.transform(
-        paired["cells"],
-        lambda c: F.struct(c["hg"].alias("hg"), c["ag"].alias("ag"), (c["p"] / paired["total"]).alias("p")),
+    NULL without means. Goal probabilities, grid mass and cells are separate plain columns, so each
+    is computed once per row in generated code.
+    """
+    rho = F.lit(rho)
+    h, a = F.col(home), F.col(away)
+    goals = range(max_goals + 1)
+    out = df.withColumns(
+        {f"_h{g}": poisson_pmf(g, h) for g in goals} | {f"_a{g}": poisson_pmf(g, a) for g in goals}
+    )
+    mass = {
+        (i, j): F.greatest(F.col(f"_h{i}") * F.col(f"_a{j}") * dixon_coles_factor(i, j, h, a, rho), F.lit(FLOOR))
+        for i in goals for j in goals
+    }
+    out = out.withColumn("_mass", sum(mass.values(), F.lit(0.0)))
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("hg"), F.lit(j).alias("ag"), (m / F.col("_mass")).alias("p")) for (i, j), m in mass.items()
+    ])
+    known = h.isNotNull() & a.isNotNull()
+    return out.withColumn(name, F.when(known, cells)).drop(
+        "_mass", *[f"_h{g}" for g in goals], *[f"_a{g}" for g in goals]
     )
 
 
@@ -117,15 +114,20 @@ def dixon_coles_1x2(
 
 
 def top_scores(cells: Column, n: int = 3) -> Column:
-    """The ``n`` most probable scores; ties by home goals, then away goals."""
+    """The ``n`` most probable scores; ties (12 digits) by home goals, then away goals."""
     ordered = F.array_sort(
-        F.transform(cells, lambda c: F.struct((-c["p"]).alias("np"), c["hg"].alias("hg"), c["ag"].alias("ag")))
+        F.transform(
+            cells,
+            lambda c: F.struct(
+                (-F.round(c["p"], 12)).alias("k"), c["hg"].alias("hg"), c["ag"].alias("ag"), c["p"].alias("p")
+            ),
+        )
     )
     return F.transform(
         F.slice(ordered, 1, n),
         lambda c: F.struct(
             F.concat_ws("-", c["hg"].cast("string"), c["ag"].cast("string")).alias("score"),
-            (-c["np"]).alias("prob"), c["hg"].alias("hg"), c["ag"].alias("ag"),
+            c["p"].alias("prob"), c["hg"].alias("hg"), c["ag"].alias("ag"),
         ),
     )
 

@@ -18,6 +18,14 @@ TAILS = (10, 11, 12, 13, 14)
 _DIGITS = 12
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it inside ``body``.
+
+    A lambda re-evaluates every outer expression per element; a lambda variable does not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def second_probability(p: Column) -> Column:
     return F.get(F.array_sort(p), F.lit(1))
 
@@ -62,16 +70,22 @@ def best_doubles(matches: Column, doubles: int = settings.DOUBLES) -> Column:
 
 def development(matches: Column, chosen: Column) -> Column:
     """Played signs per match: two at the chosen positions, the favourite elsewhere."""
-    return F.transform(
-        matches,
-        lambda m, i: F.when(F.array_contains(chosen, i), double_signs(m["p"])).otherwise(favourite(m["p"])),
+    return let(
+        chosen,
+        lambda taken: F.transform(
+            matches,
+            lambda m, i: F.when(F.array_contains(taken, i), double_signs(m["p"])).otherwise(favourite(m["p"])),
+        ),
     )
 
 
 def coverages(matches: Column, chosen: Column) -> Column:
-    return F.transform(
-        matches,
-        lambda m, i: F.when(F.array_contains(chosen, i), double_cover(m["p"])).otherwise(F.array_max(m["p"])),
+    return let(
+        chosen,
+        lambda taken: F.transform(
+            matches,
+            lambda m, i: F.when(F.array_contains(taken, i), double_cover(m["p"])).otherwise(F.array_max(m["p"])),
+        ),
     )
 
 
@@ -123,17 +137,31 @@ def count_hits(results: Column, signs: Column) -> Column:
 
 def columns_of(signs: Column, doubles: int = settings.DOUBLES) -> Column:
     """All columns of a development as strings, first double slowest."""
-    is_double = F.transform(signs, lambda s: (F.length(s) > 1).cast("int"))
-
-    def one(c: Column) -> Column:
-        def sign(s: Column, i: Column) -> Column:
-            earlier = F.aggregate(F.slice(is_double, F.lit(1), i), F.lit(0), lambda acc, f: acc + f)
-            bit = F.floor(c / F.pow(F.lit(2.0), F.lit(doubles - 1) - earlier)) % 2
-            return F.when(F.length(s) == 1, s).when(bit == 0, F.substring(s, 1, 1)).otherwise(F.substring(s, 2, 1))
 
-        return F.array_join(F.transform(signs, sign), "")
-
-    return F.transform(F.sequence(F.lit(0), F.lit(2**doubles - 1)), one)
+    def numbered(played: Column) -> Column:
+        """Signs with the bit of the column number that decides them (NULL for singles)."""
+        flags = F.transform(played, lambda s: (F.length(s) > 1).cast("int"))
+        return F.zip_with(
+            played,
+            let(flags, lambda f: F.transform(
+                f, lambda flag, i: F.when(flag == 1, F.aggregate(F.slice(f, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+            )),
+            lambda s, earlier: F.struct(
+                s.alias("s"), F.pow(F.lit(2.0), F.lit(doubles - 1) - earlier).cast("int").alias("weight")
+            ),
+        )
+
+    def one(entries: Column, c: Column) -> Column:
+        def sign(e: Column) -> Column:
+            upper = F.floor(c / e["weight"]) % 2 == 1
+            return F.when(e["weight"].isNull(), e["s"]).when(upper, F.substring(e["s"], 2, 1)).otherwise(F.substring(e["s"], 1, 1))
+
+        return F.array_join(F.transform(entries, sign), "")
+
+    return let(
+        numbered(signs),
+        lambda entries: F.transform(F.sequence(F.lit(0), F.lit(2**doubles - 1)), lambda c: one(entries, c)),
+    )
 
 
 def column_value(column: Column, probs: Column, public: Column, alpha: float) -> Column:

@@ -200,7 +200,7 @@ def predict_score_match(
     out = out.withColumns(
         {"lambda_home": F.coalesce("lambda_home", "mean_home"), "lambda_away": F.coalesce("lambda_away", "mean_away")}
     )
-    out = out.withColumn("cells", sc.score_cells(F.col("lambda_home"), F.col("lambda_away"), rho, max_goals))
+    out = sc.with_score_cells(out, rho, max_goals=max_goals)
     out = out.withColumns(
         {
             "top_marcadores": sc.top_scores(F.col("cells"), 3), "goles_local": sc.bucket_probs(F.col("cells"), "hg"),

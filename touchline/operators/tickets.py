@@ -64,13 +64,15 @@ def ranked_combinations(tickets: DataFrame, key: Sequence[str], top: int | None
     matches = F.col("matches")
     single = F.transform(matches, lambda m: F.array_max(m["p"]))
     second = F.transform(matches, lambda m: tk.second_probability(m["p"]))
-    base = tickets.select(*key, "matches", tk.total(single).alias("base"), second.alias("second"),
-                          tk.combinations_of_doubles().alias("combos"))
-    scored = F.transform(
-        F.col("combos"),
-        lambda c, i: F.struct(
-            (-F.round(F.col("base") + tk.total(F.transform(c, lambda j: F.get(F.col("second"), j))), 12)).alias("k"),
-            i.alias("combination"), c.alias("doubles"),
+    base = tickets.select(*key, "matches")
+    scored = tk.let(
+        F.struct(tk.total(single).alias("base"), second.alias("second")),
+        lambda v: F.transform(
+            tk.combinations_of_doubles(),
+            lambda c, i: F.struct(
+                (-F.round(v["base"] + tk.total(F.transform(c, lambda j: F.get(v["second"], j))), 12)).alias("k"),
+                i.alias("combination"), c.alias("doubles"),
+            ),
         ),
     )
     ordered = F.array_sort(scored)
@@ -88,12 +90,14 @@ def ticket_columns(tickets: DataFrame, key: Sequence[str], alpha: float = 0.6) -
     )
     probs = F.transform("matches", lambda m: m["p"])
     public = F.transform("matches", lambda m: m["public"])
-    out = out.select(*key, probs.alias("probs"), public.alias("public"), tk.columns_of(F.col("signs")).alias("cols"))
-    valued = F.transform(
-        "cols",
-        lambda c, i: F.struct(
-            (-F.round(tk.column_value(c, F.col("probs"), F.col("public"), alpha), 12)).alias("k"),
-            i.alias("index"), c.alias("column"),
+    valued = tk.let(
+        F.struct(probs.alias("probs"), public.alias("public")),
+        lambda v: F.transform(
+            tk.columns_of(F.col("signs")),
+            lambda c, i: F.struct(
+                (-F.round(tk.column_value(c, v["probs"], v["public"], alpha), 12)).alias("k"),
+                i.alias("index"), c.alias("column"),
+            ),
         ),
     )
     out = out.select(*key, F.posexplode(F.array_sort(valued)).alias("rank", "c"))
