@@ -257,12 +257,17 @@ def matchdays(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _diagnosed(spark: SparkSession, sf: str) -> DataFrame:
+    out = matchday.diagnose(matchdays(spark, sf))
+    return out.filter((F.col("num") < 15) & F.col("diagnostico").isNull())
+
+
 @query("F31 SRC7 SRC13 P25 P26 P27 P28 T3 P38", PCT + _SRC + """
 select match_id, src as fuente_modelo, round(fp - sp, 4) as gap_primero_segundo, case when fp - sp >= 0.25 then 'bajo' when fp - sp >= 0.15 then 'medio' when fp - sp >= 0.07 then 'alto' else 'extremo' end as riesgo,
   case when fixed or over or trap or hid or vis or tri then concat_ws('|', case when fixed then 'fijo logico' end, case when over then 'favorito sobreapostado' end, case when trap then 'partido trampa' end,
     case when hid then 'empate oculto' end, case when vis then 'visitante de valor' end, case when tri then 'triple candidato' end) when fp >= 0.5 then 'favorito razonable' else 'partido abierto' end as etiquetas from lb""")
 def matchday_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
-    out = matchday.diagnose(matchdays(spark, sf)).filter(F.col("etiquetas").isNotNull())
+    out = _diagnosed(spark, sf)
     return out.select("match_id", "fuente_modelo", "gap_primero_segundo", "riesgo", F.array_join("etiquetas", "|").alias("etiquetas"))
 
 
@@ -275,7 +280,7 @@ select match_id, case when trap or over then {_PLAY.format("fav", "sec")} when t
   case when trap or over then {_PLAY.format("bv", "bv2")} when tri then '1X2' when hid then {_PLAY.format("fav", "'X'")} when sp >= 0.24 then {_PLAY.format("fav", "sec")} else fav end as equilibrada,
   case when trap or over or tri then bv when hid then 'X' when bv <> fav and bvp >= 0.20 then bv else fav end as agresiva from nb""")
 def matchday_picks(spark: SparkSession, sf: str) -> DataFrame:
-    out = matchday.diagnose(matchdays(spark, sf)).filter(F.col("etiquetas").isNotNull())
+    out = _diagnosed(spark, sf)
     return out.select("match_id", "conservadora", "equilibrada", "agresiva")
 
 
@@ -284,7 +289,7 @@ select jornada, e as etiqueta, count(*) as partidos from (select jornada, unnest
   [case when fixed then 'fijo logico' end, case when over then 'favorito sobreapostado' end, case when trap then 'partido trampa' end, case when hid then 'empate oculto' end, case when vis then 'visitante de valor' end, case when tri then 'triple candidato' end]
   else [case when fp >= 0.5 then 'favorito razonable' else 'partido abierto' end] end) as e from lb) z where e is not null group by 1, 2""")
 def matchday_label_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return matchday.label_counts(matchday.diagnose(matchdays(spark, sf)).filter(F.col("etiquetas").isNotNull()))
+    return matchday.label_counts(_diagnosed(spark, sf))
 
 
 # Predictions of the model by match: quality and confidence from the keys.

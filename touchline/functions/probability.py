@@ -32,15 +32,20 @@ def entropy_confidence(one: Column, draw: Column, two: Column) -> Column:
     return F.round(1 + spread / math.log(3), 4)
 
 
-def signs_by_probability(one: Column, draw: Column, two: Column) -> Column:
-    """Array of structs (p, sign), most probable first, ties in the order 1, X, 2."""
-    entries = F.array(
-        *[
-            F.struct((-p).alias("negated"), F.lit(i).alias("position"), p.alias("p"), F.lit(s).alias("sign"))
-            for i, (p, s) in enumerate(zip((one, draw, two), settings.SIGNS))
-        ]
+def top_two(one: Column, draw: Column, two: Column) -> tuple[Column, Column]:
+    """The two most probable signs, ties in the order 1, X, 2. Plain comparisons, no arrays."""
+    first = argmax_sign(one, draw, two)
+    second = (
+        F.when(first == "1", F.when(draw >= two, "X").otherwise("2"))
+        .when(first == "X", F.when(one >= two, "1").otherwise("2"))
+        .when(first == "2", F.when(one >= draw, "1").otherwise("X"))
     )
-    return F.array_sort(entries)
+    return first, second
+
+
+def value_of(sign: Column, values: Sequence[Column]) -> Column:
+    """Value of a sign among three."""
+    return F.when(sign == "1", values[0]).when(sign == "X", values[1]).when(sign == "2", values[2])
 
 
 def play(first: Column, second: Column) -> Column:
@@ -50,8 +55,7 @@ def play(first: Column, second: Column) -> Column:
 
 def double_for(one: Column, draw: Column, two: Column, threshold: Column | float) -> Column:
     """The double to play: the draw rule at the threshold, otherwise the two most probable signs."""
-    ranked = signs_by_probability(one, draw, two)
-    top, second = ranked[0]["sign"], ranked[1]["sign"]
+    top, second = top_two(one, draw, two)
     by_draw = F.when(top == "1", "1X").when(top == "2", "X2")
     return F.coalesce(F.when(draw >= threshold, by_draw), play(top, second))
 

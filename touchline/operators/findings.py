@@ -33,7 +33,8 @@ def finding(code: str, severity: str, count: Column, message: str, details: Sequ
 
 def collect_findings(facts: DataFrame, rules: Sequence[Column]) -> DataFrame:
     """Rules over a one-row table of facts to one row per finding."""
-    return facts.select(F.inline(F.array_compact(F.array(*rules))))
+    # The outer form keeps the rules from being copied into an inferred filter.
+    return facts.select(F.inline_outer(F.array(*rules))).filter(F.col("code").isNotNull())
 
 
 def union_findings(parts: Sequence[DataFrame]) -> DataFrame:

@@ -34,64 +34,75 @@ def first_source(order: Sequence[str]) -> tuple[Column, Column]:
     )
 
 
-def _ranked(p: Column) -> Column:
-    return pr.signs_by_probability(p[0], p[1], p[2])
+def risk_band(gap: Column) -> Column:
+    bands = [F.when(gap >= limit, name) for name, limit in settings.RISK_GAPS]
+    return F.when(gap.isNotNull(), F.coalesce(*bands, F.lit(settings.RISK_OTHER)))
 
 
-def risk_band(p: Column) -> tuple[Column, Column]:
-    """Band and gap between the two most probable signs."""
-    ranked = _ranked(p)
-    gap = ranked[0]["p"] - ranked[1]["p"]
-    band = F.coalesce(*[F.when(gap >= limit, name) for name, limit in settings.RISK_GAPS], F.lit(settings.RISK_OTHER))
-    return band, gap
+_MARKET, _PUBLIC, _VALUE = ("_m1", "_mx", "_m2"), ("_u1", "_ux", "_u2"), ("_v1", "_vx", "_v2")
 
 
-def _value_of(sign: Column, values: Sequence[Column]) -> Column:
-    return F.when(sign == "1", values[0]).when(sign == "X", values[1]).otherwise(values[2])
+def _with_ranking(df: DataFrame) -> DataFrame:
+    """Scalars of the ranking, each in its own column: favourite, second sign, best and next value."""
+    market, public, value = ([F.col(c) for c in names] for names in (_MARKET, _PUBLIC, _VALUE))
+    out = df.withColumns(
+        {n: F.col("market")[i] for i, n in enumerate(_MARKET)} | {n: F.col("public")[i] for i, n in enumerate(_PUBLIC)}
+    )
+    out = out.withColumns({n: m - u for n, m, u in zip(_VALUE, market, public)})
+    fav, second = pr.top_two(*market)
+    best, following = pr.top_two(*value)
+    out = out.withColumns({"_fav": fav, "_second": second, "_best": best, "_next": following})
+    return out.withColumns(
+        {
+            "_fav_p": pr.value_of(F.col("_fav"), market), "_second_p": pr.value_of(F.col("_second"), market),
+            "_fav_value": pr.value_of(F.col("_fav"), value), "_fav_public": pr.value_of(F.col("_fav"), public),
+            "_best_p": pr.value_of(F.col("_best"), market),
+        }
+    )
 
 
-def match_labels(market: Column, public: Column) -> Column:
-    """Labels of a match; a fallback label when no rule fires."""
+def _rules() -> dict[str, Column]:
+    """Label rules over the ranking columns, in the order labels are listed."""
     k = settings.LABEL_LIMITS
-    ranked = _ranked(market)
-    fav, prob = ranked[0]["sign"], ranked[0]["p"]
-    values = [market[i] - public[i] for i in range(3)]
-    fav_value, fav_public = _value_of(fav, values), _value_of(fav, [public[i] for i in range(3)])
+    c = F.col
     balanced = F.lit(True)
-    for i in range(3):
-        balanced = balanced & market[i].between(k["triple_min"], k["triple_max"])
-    labels = F.array_compact(
-        F.array(
-            F.when((prob >= k["logical_fixed_prob"]) & (fav_value > k["logical_fixed_value"]), "fijo logico"),
-            F.when((prob >= k["favorite_prob"]) & (fav_value <= k["favorite_overbet_value"]), "favorito sobreapostado"),
-            F.when((prob < k["trap_market_favorite_max"]) & (fav_public > k["trap_public_favorite"]), "partido trampa"),
-            F.when((market[1] >= k["hidden_draw_market"]) & (public[1] <= k["hidden_draw_public_max"]), "empate oculto"),
-            F.when((market[2] >= k["visitor_value_market"]) & (public[2] <= k["visitor_value_public_max"]), "visitante de valor"),
-            F.when(balanced, "triple candidato"),
-        )
-    )
-    fallback = F.when(prob >= k["favorite_prob"], "favorito razonable").otherwise("partido abierto")
-    return F.when(F.size(labels) > 0, labels).otherwise(F.array(fallback))
+    for name in _MARKET:
+        balanced = balanced & c(name).between(k["triple_min"], k["triple_max"])
+    return {
+        "fijo logico": (c("_fav_p") >= k["logical_fixed_prob"]) & (c("_fav_value") > k["logical_fixed_value"]),
+        "favorito sobreapostado": (c("_fav_p") >= k["favorite_prob"]) & (c("_fav_value") <= k["favorite_overbet_value"]),
+        "partido trampa": (c("_fav_p") < k["trap_market_favorite_max"]) & (c("_fav_public") > k["trap_public_favorite"]),
+        "empate oculto": (c("_mx") >= k["hidden_draw_market"]) & (c("_ux") <= k["hidden_draw_public_max"]),
+        "visitante de valor": (c("_m2") >= k["visitor_value_market"]) & (c("_u2") <= k["visitor_value_public_max"]),
+        "triple candidato": balanced,
+    }
 
 
-def pick_columns(market: Column, public: Column, labels: Column) -> dict[str, Column]:
+def _with_labels(df: DataFrame) -> DataFrame:
+    """Labels of a match; a fallback label when no rule fires."""
+    flags = {f"_rule{i}": rule for i, rule in enumerate(_rules().values())}
+    out = df.withColumns(flags)
+    labels = F.array_compact(F.array(*[F.when(F.col(f), name) for f, name in zip(flags, _rules())]))
+    fired = F.lit(False)
+    for f in flags:
+        fired = fired | F.col(f)
+    fallback = F.when(F.col("_fav_p") >= settings.LABEL_LIMITS["favorite_prob"], "favorito razonable").otherwise("partido abierto")
+    return out.withColumn("etiquetas", F.when(fired, labels).when(~fired, F.array(fallback)))
+
+
+def _pick_columns() -> dict[str, Column]:
     """Conservative, balanced and aggressive picks of a labelled match."""
-    ranked = _ranked(market)
-    fav, second = ranked[0]["sign"], ranked[1]["sign"]
-    second_prob = ranked[1]["p"]
-    values = pr.signs_by_probability(*[market[i] - public[i] for i in range(3)])
-    best, next_best = values[0]["sign"], values[1]["sign"]
-    best_prob = _value_of(best, [market[i] for i in range(3)])
-    contested = F.array_contains(labels, "partido trampa") | F.array_contains(labels, "favorito sobreapostado")
-    triple, hidden = F.array_contains(labels, "triple candidato"), F.array_contains(labels, "empate oculto")
-    with_second, with_draw = pr.play(fav, second), pr.play(fav, F.lit("X"))
+    c = F.col
+    contested, hidden, triple = c("_rule1") | c("_rule2"), c("_rule3"), c("_rule5")
+    fav, best = c("_fav"), c("_best")
+    with_second, with_draw = pr.play(fav, c("_second")), pr.play(fav, F.lit("X"))
     lim = settings.PICK_LIMITS
     return {
         "conservadora": F.when(contested, with_second).when(triple | hidden, with_draw).otherwise(fav),
-        "equilibrada": F.when(contested, pr.play(best, next_best)).when(triple, "1X2").when(hidden, with_draw)
-        .otherwise(F.when(second_prob >= lim["second"], with_second).otherwise(fav)),
+        "equilibrada": F.when(contested, pr.play(best, c("_next"))).when(triple, "1X2").when(hidden, with_draw)
+        .otherwise(F.when(c("_second_p") >= lim["second"], with_second).otherwise(fav)),
         "agresiva": F.when(contested | triple, best).when(hidden, "X")
-        .otherwise(F.when((best != fav) & (best_prob >= lim["value"]), best).otherwise(fav)),
+        .otherwise(F.when((best != fav) & (c("_best_p") >= lim["value"]), best).otherwise(fav)),
     }
 
 
@@ -112,28 +123,31 @@ def diagnose(matches: DataFrame, notes: DataFrame | None = None) -> DataFrame:
         }
     )
     ready = F.col("market").isNotNull() & F.col("public").isNotNull()
-    out = out.withColumn(
-        "diagnostico", F.when(~is_score & ~ready, "sin probabilidades suficientes")
-    ).withColumn("etiquetas", F.when(ready, match_labels(F.col("market"), F.col("public"))))
-    band, gap = risk_band(F.col("market"))
-    picks = pick_columns(F.col("market"), F.col("public"), F.col("etiquetas"))
+    out = out.withColumn("_ready", ready).withColumn(
+        "diagnostico", F.when(~is_score & ~F.col("_ready"), "sin probabilidades suficientes")
+    )
+    out = _with_labels(_with_ranking(out))
+    ready, gap = F.col("_ready"), F.col("_fav_p") - F.col("_second_p")
     out = out.withColumns(
         {
-            "riesgo": F.when(ready, band), "gap_primero_segundo": F.when(ready, F.round(gap, 4)),
-            "valor": F.when(ready, F.zip_with("market", "public", lambda a, b: F.round(a - b, 4))),
-            **{name: F.when(ready, value) for name, value in picks.items()},
+            "etiquetas": F.when(ready, F.col("etiquetas")), "riesgo": F.when(ready, risk_band(gap)),
+            "gap_primero_segundo": F.when(ready, F.round(gap, 4)),
+            "valor": F.when(ready, F.array(*[F.round(v, 4) for v in _VALUE])),
+            **{name: F.when(ready, value) for name, value in _pick_columns().items()},
         }
     )
     if "marcadores_q15" in matches.columns:
-        out = out.withColumn("top_marcadores", F.when(is_score, F.slice(F.coalesce("marcadores_q15", F.array().cast(
-            matches.schema["marcadores_q15"].dataType)), 1, 5)))
+        none = F.array().cast(matches.schema["marcadores_q15"].dataType)
+        out = out.withColumn("top_marcadores", F.when(is_score, F.slice(F.coalesce("marcadores_q15", none), 1, 5)))
     if notes is not None:
         out = out.join(notes.select(*KEY, F.struct("signo", "razon").alias("maestra")), list(KEY), "left")
-    return out
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def label_counts(diagnosed: DataFrame) -> DataFrame:
-    return diagnosed.select("jornada", F.explode("etiquetas").alias("etiqueta")).groupBy("jornada", "etiqueta").agg(
+    # The outer form keeps the long label expression from being copied into an inferred filter.
+    rows = diagnosed.select("jornada", F.explode_outer("etiquetas").alias("etiqueta")).filter(F.col("etiqueta").isNotNull())
+    return rows.groupBy("jornada", "etiqueta").agg(
         F.count(F.lit(1)).alias("partidos")
     )
 
@@ -271,28 +285,36 @@ def with_recommendation(matches: DataFrame) -> DataFrame:
             "fuente_utilizada": F.when(from_model, "motor_maestro").when(has_apu, "apu_fallback"),
         }
     )
-    ranked = _ranked(F.col("_p"))
-    gap = ranked[0]["p"] - ranked[1]["p"]
-    confidence = F.coalesce(F.col("confianza"), F.lit(0.5))
+    p = [F.col("_p1"), F.col("_px"), F.col("_p2")]
+    out = out.withColumns({n: F.col("_p")[i] for i, n in enumerate(("_p1", "_px", "_p2"))})
+    first, second = pr.top_two(*p)
+    ready = F.col("_p").isNotNull() & (F.col("num") != SCORE_MATCH)
+    out = out.withColumns(
+        {
+            "_first": first, "_second": second, "_confidence": F.coalesce(F.col("confianza"), F.lit(0.5)),
+            "recomendacion_disponible": ready,
+        }
+    ).withColumn("_second_p", pr.value_of(F.col("_second"), p))
+    ready, confidence, second_p = F.col("recomendacion_disponible"), F.col("_confidence"), F.col("_second_p")
+    gap = F.greatest(*p) - second_p
     kind = (
         F.when((confidence >= lim["confidence"]) & (gap >= lim["gap"]), "simple")
-        .when((confidence >= lim["double_confidence"]) & (ranked[1]["p"] >= lim["second"]), "doble")
+        .when((confidence >= lim["double_confidence"]) & (second_p >= lim["second"]), "doble")
         .otherwise("triple")
     )
-    ready = F.col("_p").isNotNull() & (F.col("num") != SCORE_MATCH)
     out = out.withColumns(
         {
-            "recomendacion_disponible": ready, "signo_principal": F.when(ready, ranked[0]["sign"]),
-            "tipo_apuesta": F.when(ready, kind), "confianza_modelo": F.when(ready, F.round(confidence, 3)),
-            "gap_probabilidad": F.when(ready, F.round(gap, 3)),
-            "_double": pr.play(ranked[0]["sign"], ranked[1]["sign"]),
+            "signo_principal": F.when(ready, F.col("_first")), "tipo_apuesta": F.when(ready, kind),
+            "confianza_modelo": F.when(ready, F.round(confidence, 3)), "gap_probabilidad": F.when(ready, F.round(gap, 3)),
         }
     )
     bet = (
-        F.when(F.col("tipo_apuesta") == "simple", F.col("signo_principal"))
-        .when(F.col("tipo_apuesta") == "doble", F.col("_double")).when(F.col("tipo_apuesta") == "triple", "1X2")
+        F.when(F.col("tipo_apuesta") == "simple", F.col("_first"))
+        .when(F.col("tipo_apuesta") == "doble", pr.play(F.col("_first"), F.col("_second")))
+        .when(F.col("tipo_apuesta") == "triple", "1X2")
     )
-    return out.withColumn("apuesta_recomendada", bet).drop("_p", "_double")
+    out = out.withColumn("apuesta_recomendada", bet)
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def package_summary(matches: DataFrame) -> DataFrame:
@@ -376,9 +398,11 @@ def odds_timestamp_issues(
         problems.append(F.when(absent, f"{name}_ausente").when(stamp.isNull(), f"{name}_invalido"))
         stamps.append(stamp)
     seen, cutoff, kickoff = stamps
+    # Order is judged only when all three can be read.
+    readable = seen.isNotNull() & cutoff.isNotNull() & kickoff.isNotNull()
     order = [
-        F.when(seen > cutoff, "cuotas_observadas_despues_del_corte"),
-        F.when(~(cutoff < kickoff), "corte_no_anterior_al_kickoff"),
+        F.when(readable & (seen > cutoff), "cuotas_observadas_despues_del_corte"),
+        F.when(readable & ~(cutoff < kickoff), "corte_no_anterior_al_kickoff"),
     ]
     return df.withColumn("issues", F.array_compact(F.array(*problems, *order)))
 
