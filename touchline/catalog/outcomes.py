@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.catalog import views
+from touchline.catalog.raw_data import FACTS
 from touchline.catalog.registry import query, r6
 from touchline.functions import probability as pr
 from touchline.functions import scores as sc
-from touchline.operators import blend, compare, metrics, models
+from touchline.operators import blend, cleaning, compare, metrics, models
 
 S = f"with s as ({views.SOURCES_SQL})"
 RHO = -0.036
@@ -290,15 +291,14 @@ def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.bootstrap_interval(rows.select(gap.alias("gap")), "gap", replicates=2000)
 
 
-@query("J12 U6", f"""with m as ({views.MATCHES_SQL})
-select cast(sum(case when match_id % 7 = 0 and match_id % 5 <> 0 then 1 else 0 end) as bigint) as only_a,
-  cast(sum(case when match_id % 7 <> 0 and match_id % 5 = 0 then 1 else 0 end) as bigint) as only_b, false as equal from m""")
+@query("J12 U6", FACTS + """
+select cast(count(*) - count(case when d is not null and hg is not null and ag is not null and res is not null and ovr is not null and has_open then 1 end) as bigint) as only_a,
+  cast(0 as bigint) as only_b, false as equal from x""")
 def key_set_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.matches(spark, sf).withColumn("key", F.col("match_id"))
-    a = rows.filter((F.col("match_id") % 7 == 0) | (F.col("match_id") % 5 != 0))
-    b = rows.filter((F.col("match_id") % 7 != 0) | (F.col("match_id") % 5 == 0))
-    a2, b2 = a.filter(F.col("match_id") % 7 == 0), b.filter(F.col("match_id") % 5 == 0)
-    return compare.same_keys(a2, b2, ["key"])
+    """Keys of all matches against those that survive typing of their raw rows."""
+    every = views.matches(spark, sf).select("match_id")
+    raw = views.raw_history(spark, sf).withColumn("match_id", F.col("_line"))
+    return compare.same_keys(every, cleaning.typed_matches(raw).select("match_id"), ["match_id"])
 
 
 @query("A22 T4 M14", BASE + """, q as (select season, avg(case when logit_prob_1 >= logit_prob_x and logit_prob_1 >= logit_prob_2 then case when result = '1' then 1.0 else 0 end

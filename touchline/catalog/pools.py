@@ -293,11 +293,11 @@ def matchday_label_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Predictions of the model by match: quality and confidence from the keys.
-_PRED = """, pr as (select match_id, jornada, num, round(logit_p1, 4) as p1, round(logit_px, 4) as px, round(logit_p2, 4) as p2, (match_id % 10) / 10.0 as quality, (cust % 11) / 10.0 as conf, a1, ax, a2
-  from (select pc.*, s2.logit_prob_1 as logit_p1, s2.logit_prob_x as logit_px, s2.logit_prob_2 as logit_p2 from pc join s s2 on s2.match_id = pc.match_id) y),
-it as (select *, match_id % 8 <> 0 and quality >= 0.2 as ok from pr),
+_PRED = """, pr as (select match_id, jornada, num, round(logit_p1, 4) as p1, round(logit_px, 4) as px, round(logit_p2, 4) as p2, (match_id % 10) / 10.0 as quality, (cust % 11) / 10.0 as conf, a1, ax, a2, hm
+  from (select pc.*, s2.market_1 is not null as hm, s2.logit_prob_1 as logit_p1, s2.logit_prob_x as logit_px, s2.logit_prob_2 as logit_p2 from pc join s s2 on s2.match_id = pc.match_id) y),
+it as (select *, hm and quality >= 0.2 as ok from pr),
 us as (select *, case when ok then p1 when a1 is not null or ax is not null then coalesce(a1, 0) / (coalesce(a1, 0) + ax + a2) end as r1, case when ok then px when ax is not null then ax / (coalesce(a1, 0) + ax + a2) end as rx,
-    case when ok then p2 when ax is not null then a2 / (coalesce(a1, 0) + ax + a2) end as r2, case when match_id % 8 <> 0 then conf else 0.5 end as cf from it where num < 15),
+    case when ok then p2 when ax is not null then a2 / (coalesce(a1, 0) + ax + a2) end as r2, case when hm then conf else 0.5 end as cf from it where num < 15),
 rk as (select *, case when r1 >= rx and r1 >= r2 then '1' when rx >= r2 then 'X' else '2' end as f from us),
 rs as (select *, case f when '1' then greatest(rx, r2) when 'X' then greatest(r1, r2) else greatest(r1, rx) end as s2, greatest(r1, rx, r2) as s1,
     case f when '1' then case when rx >= r2 then 'X' else '2' end when 'X' then case when r1 >= r2 then '1' else '2' end else case when r1 >= rx then '1' else 'X' end end as g from rk),
@@ -307,7 +307,7 @@ bt as (select *, case when cf >= 0.7 and s1 - s2 >= 0.25 then 'simple' when cf >
 
 def recommended(spark: SparkSession, sf: str) -> DataFrame:
     rows = matchdays(spark, sf)
-    p = views.matches_with_sources(spark, sf).filter(F.col("match_id") % 8 != 0)
+    p = views.matches_with_sources(spark, sf).filter(F.col("market_1").isNotNull())
     predictions = p.select(
         F.floor(F.col("match_id") / 15).cast("int").alias("jornada"), (F.col("match_id") % 15 + 1).cast("int").alias("num"),
         *[F.round(f"logit_prob_{s}", 4).alias(f"prob_{s}") for s in ("1", "x", "2")], F.lit("1").alias("signo_modelo"),
@@ -431,8 +431,10 @@ def score_match_forecasts(spark: SparkSession, sf: str) -> DataFrame:
     """Score forecast of every fifteenth match to come after the cutoff."""
     history = views.matches(spark, sf)
     cutoff = "2000-07-01"
-    upcoming = history.filter((F.col("date") >= F.lit(cutoff).cast("date")) & (F.col("match_id") % 15 == 14)).select(
-        "match_id", F.lit(15).alias("num"), "home", "away", "date", "odd_1", "odd_x", "odd_2"
+    numbered = history.withColumn("num", (F.col("match_id") % 15 + 1).cast("int"))
+    to_come = numbered.filter(F.col("date") >= F.lit(cutoff).cast("date"))
+    upcoming = to_come.filter(F.col("num") == settings.BLOCK_SIZE).select(
+        "match_id", "num", "home", "away", "date", "odd_1", "odd_x", "odd_2"
     )
     features = ft.upcoming_features(upcoming, history, cutoff, pool="division")
     return matchday.predict_score_match(features, models.league_mean_goals(history, cutoff))

@@ -363,15 +363,15 @@ def combined_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return writers.combined_fingerprint(writers.fingerprints(files))
 
 
-@query("J11 SRC12 SNK8 F7 F3", FEED + """
+@query("J11 SRC12 SNK8 F7 F3", FACTS + ", " + FEED.removeprefix("with ") + """
 select cast(match_id as bigint) as match_id, cast(date as date) as date, case when league_name = 'La Liga' then 'Primera' else 'Segunda' end as division,
   '1998-1999' as season, round, home_name as home, away_name as away, cast(home_goals as int) as home_goals, cast(away_goals as int) as away_goals,
   case when home_goals > away_goals then 'H' when home_goals < away_goals then 'A' else 'D' end as result, 'Highlightly' as source, true as missing_odds, true as missing_shots
-from fd f where league_season = '1998' and status = 'Finished' and not exists (select 1 from fd h where h.row_id % 3 <> 0 and h.date = f.date
-  and h.home_name = f.home_name and h.away_name = f.away_name)""")
+from fd f where league_season = '1998' and status = 'Finished' and not exists (select 1 from x h where h.d = cast(f.date as date) and h.ht = f.home_name
+  and h.at_ = f.away_name and h.hg is not null and h.ag is not null and h.res is not null and h.ovr is not null and h.has_open)""")
 def missing_matches(spark: SparkSession, sf: str) -> DataFrame:
     season = feed_audit.season_feed(feed(spark, sf), "1998").drop("row_id")
-    history = views.matches(spark, sf).filter(F.col("match_id") % 3 != 0)
+    history = cleaning.typed_matches(views.raw_history(spark, sf))
     return missing.missing_matches(season, history, "1998-1999", check_unique=False)
 
 
@@ -382,7 +382,7 @@ def missing_matches(spark: SparkSession, sf: str) -> DataFrame:
 XG_SQL = """select match_id, home, away, match_date, cast(match_date + cast(match_id % 5 as int) as date) as date, cast((fthg + match_id % 7) / 4.0 as double) as home_xg,
   cast((ftag + match_id % 6) / 4.0 as double) as away_xg, cast(case when match_id % 10 = 0 then null else match_id % 12 end as double) as home_xg_deep,
   cast(match_id % 9 as double) as away_xg_deep, cast(8 + match_id % 5 as double) as home_ppda, cast(9 + match_id % 4 as double) as away_ppda
-  from ({matches}) m where match_id % 4 <> 1""".replace("{matches}", views.MATCHES_SQL)
+  from ({matches}) m""".replace("{matches}", views.MATCHES_SQL)
 # One xG row per key; days are shifted by 0 to 4 so that exact, near and far rows all occur.
 XG = f"""with g as (select home, away, date, max(home_xg) as home_xg, max(away_xg) as away_xg, max(home_xg_deep) as home_xg_deep, max(away_xg_deep) as away_xg_deep,
   max(home_ppda) as home_ppda, max(away_ppda) as away_ppda from ({XG_SQL}) z group by home, away, date), m as ({views.MATCHES_SQL})"""
