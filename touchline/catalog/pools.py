@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from touchline import settings
 from touchline.catalog import views
-from touchline.catalog.outcomes import S
+from touchline.catalog.outcomes import _CONFIG, _W, BASE, S, blend_sql, sources
 from touchline.catalog.registry import query, r6
 from touchline.functions import odds
 from touchline.functions import tickets as tk
 from touchline.functions.text import infer_season
 from touchline.operators import features as ft
-from touchline.operators import matchday, models
+from touchline.operators import blend, matchday, models
 from touchline.operators import tickets as ops
+from touchline.plans import backtests
 
 # Fifteen consecutive matches form a matchday; match 15 is the score match.
 TICKETS = S + """, tk as (select match_id, cast(match_id // 15 as bigint) as ticket_id, cast(match_id % 15 + 1 as int) as num, result, logit_prob_1 as p1, logit_prob_x as px, logit_prob_2 as p2,
@@ -439,3 +440,24 @@ def score_match_forecasts(spark: SparkSession, sf: str) -> DataFrame:
     features = ft.upcoming_features(upcoming, history, cutoff, pool="division")
     return matchday.predict_score_match(features, models.league_mean_goals(history, cutoff))
 
+
+
+@query("J10 P38", PCT + " select match_id, cast(min(num) over (partition by jornada, local, visitante) as int) as num from pc")
+def matched_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions find their match number by folded team names within the matchday."""
+    rows = matchdays(spark, sf)
+    predictions = rows.select("match_id", "jornada", F.lit(0).alias("num"), F.upper("home").alias("home"), F.lower("away").alias("away"))
+    return matchday.match_numbers(predictions, rows).select("match_id", "num")
+
+
+@query("A29 A1", BASE + blend_sql(_W, 0.013, 0.0071) + """, c as (select season, division, case when p1 >= px and p1 >= p2 then '1' when px >= p2 then 'X' else '2' end as top, fav, result from bl),
+d as (select season, division, count(*) as n, avg(case when case when top = 'X' and fav is not null and fav <> 'X' then fav else top end = result then 1.0 else 0 end) as acc from c group by 1, 2)
+select season, string_agg(concat(division, ':', n), '|' order by division) as divisiones, round(sum(acc), 6) as accuracy_sum from d group by season""")
+def season_report(spark: SparkSession, sf: str) -> DataFrame:
+    predictions = blend.apply_config(sources(spark, sf), _CONFIG, "latest")
+    summary = predictions.select("season").distinct()
+    out = backtests.season_report(predictions, summary)
+    entries = F.map_entries("divisiones")
+    text = F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"]["matches"].cast("string")))
+    total = F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["value"]["accuracy_simple"])
+    return out.select("season", F.array_join(text, "|").alias("divisiones"), F.round(total, 6).alias("accuracy_sum"))
