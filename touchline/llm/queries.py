@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import decontamination, minhash_dedup
+from touchline.llm import decontamination, minhash_dedup, mixing, quality, sharding
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
@@ -23,12 +23,61 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, QueryFunction] = {f.__name__: f for f in (op2_benchmark_decontamination, op7_minhash_near_dedup)}
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), mixing.Target(max_repeats=1.25))
+
+
+def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, QueryFunction] = {
+    f.__name__: f
+    for f in (op2_benchmark_decontamination, op5_temperature_mixing, op7_minhash_near_dedup, op9_sampled_splitters, op10_quality_classifier)
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL: dict[str, str] = {
+    "op5_temperature_mixing": r"""
+with recursive d as (
+  select doc_id, coalesce(source, '') as source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as tokens from documents
+),
+s as (select source, sum(tokens)::bigint as t, count(*) as n, (sum(sum(tokens)) over ())::bigint as total from d group by source),
+bisect as (
+  select 0 as step, 0.0::double as low, 1.0::double as high
+  union all
+  select step + 1,
+    case when ok then low else (low + high) / 2 end, case when ok then (low + high) / 2 else high end
+  from (
+    select step, low, high, (
+      select max(pow(t, (low + high) / 2) / z * total / t) <= 1.25
+      from s, (select sum(pow(t, (low + high) / 2)) as z from s where t > 0) where t > 0
+    ) as ok
+    from bisect where step < 32
+  )
+),
+e as (
+  select case when (select max(1.0 / m * total / t) <= 1.25 from s, (select count(*) as m from s where t > 0) where t > 0) then 0.0
+    else least(1.0, (floor(high * 1000000) + 1) / 1000000) end as a
+  from bisect where step = 32
+),
+w as (select source, t, n, total, case when t > 0 then pow(t::double / total, a) else 0 end as raw from s, e),
+p as (select *, cast(floor(round(raw / sum(raw) over () * total, 6)) as bigint) as budget, cast(ceil(sqrt(n)) as bigint) as n_blocks from w),
+q as (select *, case when t > 0 then budget // t else 0 end as passes from p),
+k as (
+  select d.*, passes, budget - passes * t as rest, md5(coalesce(cast(doc_id as varchar), '')) as dk,
+    (cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) * n_blocks) >> 32 as block
+  from d join q using (source)
+),
+o as (select *, sum(tokens) over (partition by source order by md5(source || '|' || block), dk, doc_id) as upto from k)
+select doc_id, source, tokens, block, cast(passes + case when rest is not null and upto <= rest then 1 else 0 end as bigint) as copies from o
+""",
     "op2_benchmark_decontamination": f"""
 with d as (select doc_id, {_WORDS} as w from documents),
 dw as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos, len(w) as n_words from d),
