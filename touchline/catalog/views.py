@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.session import ship_package
+
 # One text, two engines: only constructs both dialects read the same way.
 MATCHES_SQL = """
 select match_id, match_date, division, home, away, fthg, ftag, season, result,
@@ -109,6 +111,7 @@ TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,25 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "16g") ->
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, once for each application, through Spark's own file service.
+
+    The archive is built on the driver, which serves it; nothing has to be installed on the executors.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_touchline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # a zip on the path has been shipped by whoever put it there
+        handle, name = tempfile.mkstemp(prefix="touchline-", suffix=".zip")
+        os.close(handle)
+        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as archive:
+            for f in sorted(root.rglob("*.py")):
+                archive.write(f, f.relative_to(root.parent))
+        context.addPyFile(name)
+    context._touchline_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
