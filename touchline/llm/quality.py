@@ -21,10 +21,14 @@ BUCKETS = 1 << 14
 DIMENSIONS = 64
 NONZERO = 4
 OFFSETS = (1, 2)
+#: Pooled besides the mean: how alike and how often equal neighbours are, the length of the mean, the number of tokens.
+EXTRA = 4
 HIDDEN = 24
 #: Labelled documents that the network is fitted and calibrated on; everything is scored.
 MAX_LABELLED = 8_000
 THRESHOLD = 0.7
+#: Token vectors held at a time.
+STEP = 1 << 16
 
 
 class RunHasher(WordHasher):
@@ -107,7 +111,7 @@ def collected_vectors(table: DataFrame) -> np.ndarray:
 
 
 class Pooler:
-    """Mean word vector of every text; a text without tokens is the zero vector."""
+    """Mean word vector of every text and EXTRA pooled figures; a text without tokens is the zero vector."""
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.vectors, self.hasher = vectors, RunHasher()
@@ -115,15 +119,22 @@ class Pooler:
     def _some(self, texts: list[str]) -> np.ndarray:
         hashes, counts = self.hasher(texts)
         b = _buckets(hashes)
-        # A step holds 64 Ki token vectors; a document that goes on into the next step is added up.
-        out, ends = np.zeros((len(texts), DIMENSIONS)), np.cumsum(counts)
+        # A document that goes on into the next step is added up.
+        out = np.zeros((len(texts), DIMENSIONS))
         doc = np.repeat(np.arange(len(texts)), counts)
-        for lo in range(0, len(b), 1 << 16):
-            d = doc[lo : lo + (1 << 16)]
+        alike, equal = np.zeros(len(texts)), np.zeros(len(texts))
+        for lo in range(0, len(b), STEP):
+            d, mine = doc[lo : lo + STEP + 1], b[lo : lo + STEP + 1]  # one token more, for the last pair
+            vectors = self.vectors[mine]
+            pair = np.where(d[1:] == d[:-1], np.einsum("ij,ij->i", vectors[1:], vectors[:-1]), 0)
+            alike += np.bincount(d[:-1], pair, len(texts))
+            equal += np.bincount(d[:-1], (d[1:] == d[:-1]) & (mine[1:] == mine[:-1]), len(texts))
+            d = d[:STEP]
             first = np.flatnonzero(np.diff(d, prepend=-1))
-            out[d[first]] += np.add.reduceat(self.vectors[b[lo : lo + (1 << 16)]], first, axis=0)
-        assert not len(ends) or ends[-1] == len(b)
-        return out / np.maximum(counts, 1)[:, None]
+            out[d[first]] += np.add.reduceat(vectors[:STEP], first, axis=0)
+        out /= np.maximum(counts, 1)[:, None]
+        pairs = np.maximum(counts - 1, 1)
+        return np.column_stack([out, alike / pairs, equal / pairs, np.linalg.norm(out, axis=1), np.log1p(counts)])
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out, piece, size = [], [], 0
@@ -134,7 +145,7 @@ class Pooler:
                 out.append(self._some(piece))
                 piece, size = [], 0
         if piece or not out:
-            out.append(self._some(piece) if piece else np.zeros((0, DIMENSIONS)))
+            out.append(self._some(piece) if piece else np.zeros((0, DIMENSIONS + EXTRA)))
         return np.concatenate(out)
 
 
