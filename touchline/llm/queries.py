@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import decontamination, minhash_dedup, mixing, quality, sharding
+from touchline.llm import decontamination, embedding_dedup, license_scan, minhash_dedup, mixing, pii, quality, secret_scan, sharding, url_filter
 from touchline.session import ship_package
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -17,18 +17,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op4_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), mixing.Target(max_repeats=1.25))
 
 
+def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -39,13 +59,34 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFunction] = {
     f.__name__: f
-    for f in (op2_benchmark_decontamination, op5_temperature_mixing, op7_minhash_near_dedup, op9_sampled_splitters, op10_quality_classifier)
+    for f in (
+        op1_license_scan, op2_benchmark_decontamination, op3_secret_scan, op4_subspace_pigeonhole, op5_temperature_mixing,
+        op6_url_filter, op7_minhash_near_dedup, op8_pii_crf, op9_sampled_splitters, op10_quality_classifier,
+    )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL: dict[str, str] = {
+    "op4_subspace_pigeonhole": """
+with recursive v as (
+  select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+),
+ok as (
+  select r, vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v
+  where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+),
+linked as (
+  select a.r as x, b.r as y from ok a join ok b on a.label = b.label and a.r <> b.r and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+),
+n as (select x, count(*) as n_links from linked group by x),
+reach as (select r, r as other from v union select p.r, l.y from reach p join linked l on l.x = p.other),
+c as (select reach.r, min(v.vec_id) as component_id from reach join v on v.r = reach.other group by reach.r)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from v join c using (r) left join n on n.x = v.r
+""",
     "op5_temperature_mixing": r"""
 with recursive d as (
   select doc_id, coalesce(source, '') as source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as tokens from documents
