@@ -7,16 +7,16 @@ reaches ``window``; an item shorter than the window ends wherever its own state
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import UPPER, WORD, in_chunks, texts_of, words
+from touchline.llm.common import UPPER, WORD, in_chunks, texts_of
 from touchline.session import stage
 
 #: Words of items in one automaton. Larger benchmarks are matched in blocks of this size, each in a pass of its own.
@@ -246,6 +246,15 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = 13, parts:
     ).withColumn("contaminated", contaminated(parts=parts))
 
 
+def _spans_function(automaton: Broadcast):  # noqa: ANN202
+    @F.pandas_udf("array<struct<start:long,end:long>>")
+    def spans_of(text: pd.Series) -> pd.Series:
+        a = automaton.value
+        return pd.Series([[{"start": s, "end": e} for s, e in a.scan(normal_words(t))[0]] for t in texts_of(text)])
+
+    return spans_of
+
+
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = 13, parts: int = 20, cut_words: int | None = None) -> DataFrame:
     """The documents without contaminated ones, columns as they came. With ``cut_words``, hit spans of at least that many
     words are cut from the texts that stay (``n_chars`` follows if the column is there).
@@ -256,13 +265,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = 13, parts: i
     spark, fields = documents.sparkSession, documents.schema
     kept = documents
     for block in _blocks(benchmark, BLOCK_WORDS):
-        automaton = spark.sparkContext.broadcast(Automaton.of(block, window))
-
-        @F.pandas_udf("array<struct<start:long,end:long>>")
-        def spans_of(text: pd.Series, automaton=automaton) -> pd.Series:  # noqa: ANN001
-            a = automaton.value
-            return pd.Series([[{"start": s, "end": e} for s, e in a.scan(normal_words(t))[0]] for t in texts_of(text)])
-
+        spans_of = _spans_function(spark.sparkContext.broadcast(Automaton.of(block, window)))
         kept = kept.withColumn(f"__spans_{len(kept.columns)}", spans_of("text"))
     names = [c for c in kept.columns if c not in documents.columns]
     all_spans = F.flatten(F.array(*names))
@@ -286,12 +289,3 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = 13, parts: i
     if "n_chars" in documents.columns and cut_words is not None:
         changed["n_chars"] = F.when(F.col("__judged.text") != F.col("text"), F.length("__judged.text")).otherwise(F.col("n_chars"))
     return kept.select(*[changed.get(f.name, F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in fields])
-
-
-def item_words(benchmark: DataFrame) -> DataFrame:
-    """``item_id, n_words`` of every item, for reports."""
-    return benchmark.select("item_id", F.size(words("text")).alias("n_words"))
-
-
-def sha_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

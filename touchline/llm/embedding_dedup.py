@@ -63,7 +63,7 @@ def prepared(vectors: DataFrame) -> DataFrame:
                 k.append(hashlib.md5(f"{label}|".encode() + raw).digest())
                 dim.append(len(x))
                 payload.append(raw)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "k": k, "label": pdf["label"], "dim": pd.array(dim, "Int32"), "payload": payload})
+            yield pd.DataFrame({"vec_id": list(pdf["vec_id"]), "k": k, "label": list(pdf["label"]), "dim": pd.array(dim, "Int32"), "payload": payload})
 
     typed = vectors.select(F.col("vec_id").cast("string").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
     return typed.mapInPandas(run, "vec_id string, k binary, label string, dim int, payload binary").withColumn("vec_id", F.col("vec_id").cast("long"))
@@ -98,6 +98,8 @@ def cells(reps: DataFrame, cosine: float) -> DataFrame:
                         s = np.array(step)
                         gap = np.where(s > 0, low + 1 - at, np.where(s < 0, at - low, 0.0))
                         reach = (gap * gap).sum(axis=1) <= 1
+                        if not reach.any():
+                            continue
                         names = [f"{label}|{dim}|{j}|{','.join(map(str, c))}" for c in (low + s)[reach].tolist()]
                         yield pd.DataFrame({"k": keys[reach], "dim": dim, "block": j, "cell": names, "home": lead == 0})
 

@@ -97,7 +97,7 @@ def signatures(documents: DataFrame, shingle: int = 3) -> DataFrame:
             sets = shingle_sets(*hasher(texts_of(pdf["text"])), shingle)
             sigs = [signer(s) if len(s) else None for s in sets]
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "k": [set_key(s) if len(s) else None for s in sets],
+                "doc_id": list(pdf["doc_id"]), "n_shingles": [len(s) for s in sets], "k": [set_key(s) if len(s) else None for s in sets],
                 "sig": [None if x is None else x.view(np.int32) for x in sigs],
                 "sketch": [None if x is None else mix(x.astype(np.uint64)).astype(np.uint8).tobytes() for x in sigs],
             })

@@ -288,7 +288,7 @@ def scan(documents: DataFrame, field: Field | None = None) -> DataFrame:
             texts = texts_of(pdf["text"])
             base = [base_spans(t) for t in texts]
             added = added_spans(shared.value, texts, base)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "base": [_structs(x) for x in base], "added": [_structs(x) for x in added]})
+            yield pd.DataFrame({"doc_id": list(pdf["doc_id"]), "base": [_structs(x) for x in base], "added": [_structs(x) for x in added]})
 
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     return rows.mapInPandas(run, f"doc_id string, base {SPANS}, added {SPANS}").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -246,7 +246,7 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     def pooled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pool = Pooler(shared.value)
         for pdf in in_chunks(frames):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": list(pool(texts_of(pdf["text"])))})
+            yield pd.DataFrame({"doc_id": list(pdf["doc_id"]), "quality": pdf["quality"], "x": list(pool(texts_of(pdf["text"])))})
 
     got = rows.mapInPandas(pooled, "doc_id long, quality int, x array<double>").toPandas()
     if not len(got):

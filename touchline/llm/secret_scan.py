@@ -104,7 +104,7 @@ def parts(documents: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in in_chunks(frames):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "parts": [parts_of(t) for t in texts_of(pdf["text"])]})
+            yield pd.DataFrame({"doc_id": list(pdf["doc_id"]), "parts": [parts_of(t) for t in texts_of(pdf["text"])]})
 
     found = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, PARTS)
     return stage(found.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id()))
