@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import elo, features, form
+from touchline.plans import jobs
 from touchline.schemas import FEATURE_TABLE_COLUMNS, MATCH_SCHEMA, MODEL_COLUMNS
 
 
@@ -102,13 +103,35 @@ def test_features_equal_direct_replay(spark, seed):
         assert g["home_form_pts_5"] == (None if w["form"] is None else pytest.approx(w["form"]))
 
 
-def test_large_pools_settle_to_the_same_ratings(spark):
-    rows = random_league(3, n=60, teams=5, days=40)
+def test_pools_stream_over_many_frames(spark):
+    """Batches of three rows: days, pools and repeated rows cross their borders."""
+    rows = [{**r, "division": "Primera" if int(r["home"][1:]) % 2 else "Segunda"} for r in random_league(3, n=60, teams=5, days=15)]
+    rows += rows[10:13]
     df = table(spark, rows)
-    folded, relaxed = by_id(elo.elo_ratings(df)), by_id(elo.elo_ratings(df, max_pool_rows=10))
-    for i, r in folded.items():
-        for c in ("home_elo", "away_elo", "home_elo_after", "away_elo_after"):
-            assert relaxed[i][c] == pytest.approx(r[c], abs=1e-6)
+    whole = sorted(map(tuple, elo.elo_ratings(df, "division").collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(tuple, elo.elo_ratings(df, "division").collect())) == whole and len(whole) == 63
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_repeated_rows_do_not_multiply(spark):
+    rows = random_league(6, n=30)
+    out = features.prematch_features(table(spark, rows + [rows[7], rows[7], rows[20]]))
+    assert out.count() == 33
+    keyed = jobs.with_row_key(table(spark, rows + [rows[7], rows[7]]).drop("match_id").withColumn("source_file", F.lit("f")))
+    assert keyed.select("match_id").distinct().count() == 32
+
+
+def test_promoted_team_keeps_its_last_rating(spark):
+    rows = [match(i, date(2023, 1, i), "A", "B", 5, 0, division="Segunda", season="2022-2023") for i in range(1, 6)]
+    rows += [match(10 + i, date(2023, 9, i), "C", "A", 3, 0, division="Primera", season="2023-2024") for i in range(1, 4)]
+    df = table(spark, rows)
+    latest = {r["team"]: r["elo"] for r in elo.latest_elo(df, "division").collect()}
+    after = {r["match_id"]: r for r in elo.elo_ratings(df, "division").collect()}
+    assert latest["A"] == after[13]["away_elo_after"] < 1500 < after[5]["home_elo_after"]
+    assert {r["team"] for r in elo.latest_elo(df).collect()} == {"A", "B", "C"}
 
 
 def test_count_of_smaller_marks_equals_brute_force(spark):

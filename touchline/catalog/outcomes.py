@@ -362,9 +362,9 @@ def entropy_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("M10")
 def mixture_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """Optimal source weights per target season: each is fitted on all earlier seasons."""
+    """Optimal source weights over all seasons, beside the best log loss of a coarse grid."""
     rows = views.matches_with_sources(spark, sf).select("season", "result", *[f"{c}_{s}" for c in _SOURCES.values() for s in ("1", "x", "2")])
-    weights = models.mixture_weights(rows, {n: [f"{c}_{s}" for s in ("1", "x", "2")] for n, c in _SOURCES.items()}, max_rounds=40)
+    weights = models.mixture_weights(rows, {n: [f"{c}_{s}" for s in ("1", "x", "2")] for n, c in _SOURCES.items()})
     grid = models.mixture_grid(rows, {n: [f"{c}_{s}" for s in ("1", "x", "2")] for n, c in _SOURCES.items()}, steps=4)
     best = grid.agg(F.min("log_loss").alias("grid_log_loss"))
     return best.select(*[F.round(F.lit(w), 4).alias(f"w_{n}") for n, w in weights.items()], r6("grid_log_loss"))

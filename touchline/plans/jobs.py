@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline import settings
@@ -16,13 +16,20 @@ from touchline.operators.models import LogitModel, TreesModel, VectorScaling
 from touchline.sources import readers, writers
 
 
+def with_row_key(rows: DataFrame) -> DataFrame:
+    """Adds ``match_id``, a key of its own for every row: the match and the row's number among equal matches."""
+    match = [F.col(c) for c in ("date", "division", "home", "away", "source_file")]
+    content = F.xxhash64(*[F.col(c) for c in rows.columns])
+    number = F.row_number().over(Window.partitionBy(*match).orderBy(content))
+    return rows.withColumn("match_id", F.xxhash64(*match, number))
+
+
 def load_history(spark: SparkSession, base: str, xg_path: str | None = None, clean: bool = False) -> DataFrame:
     """Typed match table with canonical names and xG columns, from original or sanitised files."""
     raw = readers.read_clean_history(spark, base) if clean else readers.read_raw_history(spark, base)
     typed = cleaning.require_known_divisions(cleaning.typed_matches(raw))
     typed = names.resolve_names(typed, ["home", "away"])
-    key = F.xxhash64("date", "division", "home", "away", "source_file")
-    typed = typed.withColumn("match_id", key)
+    typed = with_row_key(typed)
     return xg.merge_xg(typed, readers.read_xg(spark, xg_path) if xg_path else None)
 
 
