@@ -48,6 +48,21 @@ def ship_package(spark: SparkSession) -> None:
     context._touchline_shipped = True
 
 
+#: Rows and bytes of a batch that goes to Python: long texts count, so rows alone would not bound a worker's memory.
+BATCH_LIMITS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and bound the batches of Python functions over texts, where the session leaves them open."""
+    ship_package(spark)
+    for key, value in BATCH_LIMITS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
