@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm import decontamination, minhash_dedup, mixing, quality, sharding
-from touchline.session import ship_package, stage
+from touchline.session import prepare, stage
 
 #: Tokens of the mixture as a part of those left; with no source repeated, larger sources give way.
 BUDGET_SHARE = 0.8
@@ -22,19 +22,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    ship_package(spark)
+    prepare(spark)
     return quality.clean(docs, _table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    ship_package(spark)
+    prepare(spark)
     return minhash_dedup.clean(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth of their words in benchmark windows go; the others stay as they are."""
-    ship_package(spark)
+    prepare(spark)
     return decontamination.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 

@@ -255,6 +255,31 @@ def _spans_function(automaton: Broadcast):  # noqa: ANN202
     return spans_of
 
 
+def _judge(automaton: Broadcast, parts: int, cut_words: int | None):  # noqa: ANN202
+    """Text as it goes on, and whether it goes at all; ``spans`` are those of other blocks."""
+
+    @F.pandas_udf("text string, dirty boolean")
+    def judged(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        a, out = automaton.value, []
+        for t, more in zip(text, spans, strict=True):
+            if not isinstance(t, str):
+                out.append((None, False))
+                continue
+            tokens = normal_words(t)
+            joined = merged(a.scan(tokens)[0] + [(x["start"], x["end"]) for x in more])
+            hit, left, last = sum(e - s for s, e in joined), [], 0
+            if cut_words is not None and joined:
+                at = [m.span() for m in _WORD.finditer(t.translate(_LOWER))]
+                for s, e in joined:
+                    if e - s >= cut_words:
+                        left.append(t[last : at[s][0]])
+                        last = at[e - 1][1]
+            out.append(("".join([*left, t[last:]]) if left else t, hit > 0 and parts * hit >= len(tokens)))
+        return pd.DataFrame(out, columns=["text", "dirty"])
+
+    return judged
+
+
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = 13, parts: int = 20, cut_words: int | None = None) -> DataFrame:
     """The documents without contaminated ones, columns as they came. With ``cut_words``, hit spans of at least that many
     words are cut from the texts that stay (``n_chars`` follows if the column is there).
@@ -263,29 +288,17 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = 13, parts: i
     text is clean.
     """
     spark, fields = documents.sparkSession, documents.schema
-    kept = documents
+    kept, automaton = documents, None
     for block in _blocks(benchmark, BLOCK_WORDS):
-        spans_of = _spans_function(spark.sparkContext.broadcast(Automaton.of(block, window)))
-        kept = kept.withColumn(f"__spans_{len(kept.columns)}", spans_of("text"))
+        if automaton is not None:
+            kept = kept.withColumn(f"__spans_{len(kept.columns)}", _spans_function(automaton)("text"))
+        automaton = spark.sparkContext.broadcast(Automaton.of(block, window))
     names = [c for c in kept.columns if c not in documents.columns]
-    all_spans = F.flatten(F.array(*names))
-
-    @F.pandas_udf("text string, hit long, n long")
-    def judged(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, s in zip(text, spans, strict=True):
-            at = [m.span() for m in _WORD.finditer((t or "").translate(_LOWER))] if s is not None and len(s) else []
-            joined = merged([(x["start"], x["end"]) for x in s]) if at else []
-            hit, left, last = sum(b - a for a, b in joined), [], 0
-            for a, b in joined:
-                if cut_words is not None and b - a >= cut_words:
-                    left.append(t[last : at[a][0]])
-                    last = at[b - 1][1]
-            out.append(("".join([*left, t[last:]]) if left else t, hit, len(at)))
-        return pd.DataFrame(out, columns=["text", "hit", "n"])
-
-    kept = kept.withColumn("__judged", judged("text", all_spans)).filter(~((F.col("__judged.hit") > 0) & (F.lit(parts) * F.col("__judged.hit") >= F.col("__judged.n"))))
-    changed = {"text": F.col("__judged.text")}
-    if "n_chars" in documents.columns and cut_words is not None:
-        changed["n_chars"] = F.when(F.col("__judged.text") != F.col("text"), F.length("__judged.text")).otherwise(F.col("n_chars"))
+    others = F.flatten(F.array(*names)) if names else F.array().cast("array<struct<start:bigint,end:bigint>>")
+    kept = kept.withColumn("__judged", _judge(automaton, parts, cut_words)("text", others)).filter(~F.col("__judged.dirty"))
+    changed = {}
+    if cut_words is not None:
+        changed["text"] = F.col("__judged.text")
+        if "n_chars" in documents.columns:
+            changed["n_chars"] = F.when(F.col("__judged.text") != F.col("text"), F.length("__judged.text")).otherwise(F.col("n_chars"))
     return kept.select(*[changed.get(f.name, F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in fields])

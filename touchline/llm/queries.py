@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm import decontamination, embedding_dedup, license_scan, minhash_dedup, mixing, pii, quality, secret_scan, sharding, url_filter
-from touchline.session import ship_package
+from touchline.session import prepare
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
