@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline.llm.common import words
+from touchline.session import stage
 
 #: Words of a k-gram: no longer than the shortest template.
 GRAM = 2
@@ -121,10 +122,11 @@ def report(documents: DataFrame, templates: tuple[Template, ...] = PHRASES + NOT
 
     ``n_base`` counts every place of a base phrase, ``score`` is the largest share of a template found (0 to 1). A null text
     is empty; repeated rows each get the same answer; rows with one doc_id and different texts are judged apart. Only hits
-    are shuffled, never texts: a document without hits costs its words and one row of the last join.
+    are shuffled, never texts: a document without hits costs its words and one row of the last join. The hits are written
+    once to the shared folder, as phrases and longer templates both read them.
     """
     positions = template_positions(documents.sparkSession, templates)
-    found = spans(hits(documents, positions))
+    found = spans(stage(hits(documents, positions)))
     is_base = F.col("template").isin([t.name for t in base])
     # A document's spans are bounded by its own length; labels by the templates.
     per_doc = found.groupBy("doc_id", "key").agg(
