@@ -210,6 +210,38 @@ def test_mixture_weights_find_the_best_source(spark):
     assert sum(w.values()) == pytest.approx(1) and w["a"] > 0.95
 
 
+def test_mixture_weights_of_every_season_beat_the_grid(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(600):
+        r, year = rng.choice("1X2"), 2015 + i // 200
+        p, q = [[0.55 if s == r and rng.random() < hit else 0.225 for s in "1X2"] for hit in (0.6, 0.3 + 0.2 * (i // 200))]
+        rows.append((f"{year}-{year + 1}", r, *p, *(None if i == 7 else x for x in q)))
+    df = spark.createDataFrame(rows, "season string, result string, a1 double, ax double, a2 double, b1 double, bx double, b2 double")
+    sources = {"a": ["a1", "ax", "a2"], "b": ["b1", "bx", "b2"]}
+    earlier = ordinal.with_target_seasons(df).cache()
+    assert {r["target_season"]: r["count"] for r in earlier.groupBy("target_season").count().collect()} == {"2016-2017": 200, "2017-2018": 400}
+    found = models.mixture_weights_by(earlier, sources, "target_season")
+    for season, w in found.items():
+        mine = earlier.filter(F.col("target_season") == season)
+        q = mine.select(*models.result_probabilities(sources)).dropna().collect()
+        loss = -sum(math.log(w["a"] * r[0] + w["b"] * r[1]) for r in q) / len(q)
+        assert sum(w.values()) == pytest.approx(1)
+        assert loss <= models.mixture_grid(mine, sources, steps=20).agg(F.min("log_loss")).first()[0] + 1e-9
+    assert models.mixture_weights_by(df.filter("false"), sources, "season") == {}
+
+
+def test_rho_of_a_season_is_learnt_from_earlier_ones(spark):
+    df = league(spark).cache()
+    got = {r["season"]: r["rho"] for r in models.rho_before_seasons(df, min_rows=1).collect()}
+    assert set(got) == {"2018-2019", "2019-2020", "2020-2021"}
+    for season, rho in got.items():
+        train, _ = ordinal.split_by_season(df, season)
+        assert rho == models.best_rho(train, min_rows=1).first()["rho"]
+    study = backtests.score_model_study(df).collect()
+    assert {(r["season"], r["variant"]) for r in study} == {(s, v) for s in got for v in ("poisson_independiente", "dixon_coles")}
+
+
 def league(spark, n=700):
     rng = random.Random(12)
     teams = [f"T{i}" for i in range(8)]
@@ -225,16 +257,21 @@ def league(spark, n=700):
         "market_1 double, market_x double, market_2 double, poisson_1 double, poisson_x double, poisson_2 double, lambda_home double, lambda_away double")
 
 
-def test_strengths_agree_between_both_fits(spark):
+def test_strengths_solve_the_likelihood_equations(spark):
     df = league(spark).cache()
-    a = {r["team"]: r for r in models.attack_defence(df).collect()}
-    b = {r["team"]: r for r in models.attack_defence(df, rounds=12, max_one_hot=1).collect()}
-    assert set(a) == set(b)
-    for t, r in a.items():
-        # Expected home goals against a fixed opponent do not depend on the identification.
-        lam = lambda x: x[t]["base"] + x[t]["home_effect"] + x[t]["attack"] - x["T0"]["defence"]
-        assert lam(a) == pytest.approx(lam(b), abs=1e-3)
-    out = models.strength_lambdas(spark.createDataFrame([("T1", "Nadie")], "home string, away string"), models.attack_defence(df)).first()
+    strengths = models.attack_defence(df).cache()
+    # At the maximum every team scores, concedes, and every side scores what is expected of it.
+    rows = models.strength_lambdas(df.select("home", "away", "FTHG", "FTAG"), strengths).collect()
+    for t in {r["home"] for r in rows}:
+        scored = [(r["FTHG"], r["strength_home"]) for r in rows if r["home"] == t] + [(r["FTAG"], r["strength_away"]) for r in rows if r["away"] == t]
+        conceded = [(r["FTAG"], r["strength_away"]) for r in rows if r["home"] == t] + [(r["FTHG"], r["strength_home"]) for r in rows if r["away"] == t]
+        for part in (scored, conceded):
+            assert sum(g for g, _ in part) == pytest.approx(sum(e for _, e in part), rel=1e-5)
+    assert sum(r["FTHG"] for r in rows) == pytest.approx(sum(r["strength_home"] for r in rows), rel=1e-5)
+    assert sum(r["attack"] for r in strengths.collect()) == pytest.approx(0, abs=1e-9)
+    goalless = models.attack_defence(spark.createDataFrame([("A", "B", 0, 0), ("B", "A", 0, 0)], "home string, away string, FTHG int, FTAG int"))
+    assert goalless.count() == 2
+    out = models.strength_lambdas(spark.createDataFrame([("T1", "Nadie")], "home string, away string"), strengths).first()
     assert (out["strength_home"], out["strength_away"]) == settings.FALLBACK_STRENGTH_LAMBDAS
 
 

@@ -10,7 +10,7 @@ from touchline.catalog.raw_data import FACTS
 from touchline.catalog.registry import query, r6
 from touchline.functions import probability as pr
 from touchline.functions import scores as sc
-from touchline.operators import blend, cleaning, compare, metrics, models
+from touchline.operators import blend, cleaning, compare, metrics, models, ordinal
 
 S = f"with s as ({views.SOURCES_SQL})"
 RHO = -0.036
@@ -288,7 +288,7 @@ def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
     rows = sources(spark, sf).filter(F.col("favorite_market").isNotNull())
     mine = pr.argmax_sign(*[F.col(f"logit_prob_{s}") for s in ("1", "x", "2")])
     gap = (mine == F.col("result")).cast("int") - F.col("favorite_market_hit")
-    return metrics.bootstrap_interval(rows.select(gap.alias("gap")), "gap", replicates=2000)
+    return metrics.bootstrap_interval(rows.select(gap.alias("gap")), "gap")
 
 
 @query("J12 U6", FACTS + """
@@ -362,21 +362,21 @@ def entropy_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("M10")
 def mixture_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """Optimal source weights over all seasons, beside the best log loss of a coarse grid."""
+    """Optimal source weights of every target season, fitted on all earlier seasons."""
     rows = views.matches_with_sources(spark, sf).select("season", "result", *[f"{c}_{s}" for c in _SOURCES.values() for s in ("1", "x", "2")])
-    weights = models.mixture_weights(rows, {n: [f"{c}_{s}" for s in ("1", "x", "2")] for n, c in _SOURCES.items()})
-    grid = models.mixture_grid(rows, {n: [f"{c}_{s}" for s in ("1", "x", "2")] for n, c in _SOURCES.items()}, steps=4)
-    best = grid.agg(F.min("log_loss").alias("grid_log_loss"))
-    return best.select(*[F.round(F.lit(w), 4).alias(f"w_{n}") for n, w in weights.items()], r6("grid_log_loss"))
+    earlier = ordinal.with_target_seasons(rows)
+    found = models.mixture_weights_by(earlier, {n: [f"{c}_{s}" for s in ("1", "x", "2")] for n, c in _SOURCES.items()}, "target_season")
+    table = [(season, *[round(w[n], 4) for n in _SOURCES]) for season, w in found.items()]
+    return spark.createDataFrame(table, "season string, " + ", ".join(f"w_{n} double" for n in _SOURCES))
 
 
-@query("M10", S + """, g as (select a.i as a, b.i as b, c.i as c from unnest(range(5)) a(i), unnest(range(5)) b(i), unnest(range(5)) c(i) where a.i + b.i + c.i <= 4),
+@query("M10", S + """, g as (select a.i as a, b.i as b, c.i as c from unnest(range(11)) a(i), unnest(range(11)) b(i), unnest(range(11)) c(i) where a.i + b.i + c.i <= 10),
 q as (select case result when '1' then logit_prob_1 when 'X' then logit_prob_x else logit_prob_2 end as l, case result when '1' then hgb_prob_1 when 'X' then hgb_prob_x else hgb_prob_2 end as h,
     case result when '1' then market_1 when 'X' then market_x else market_2 end as m, case result when '1' then poisson_1 when 'X' then poisson_x else poisson_2 end as p from s)
-select round(a / 4.0, 6) as w_logit, round(b / 4.0, 6) as w_hgb, round(c / 4.0, 6) as w_market, round((4 - a - b - c) / 4.0, 6) as w_poisson,
-  round(avg(-ln(greatest(a / 4.0 * l + b / 4.0 * h + c / 4.0 * m + (4 - a - b - c) / 4.0 * p, 1e-9))), 6) as log_loss from q, g where l is not null and h is not null and m is not null and p is not null group by a, b, c""")
+select round(a / 10.0, 6) as w_logit, round(b / 10.0, 6) as w_hgb, round(c / 10.0, 6) as w_market, round((10 - a - b - c) / 10.0, 6) as w_poisson,
+  round(avg(-ln(greatest(a / 10.0 * l + b / 10.0 * h + c / 10.0 * m + (10 - a - b - c) / 10.0 * p, 1e-9))), 6) as log_loss from q, g where l is not null and h is not null and m is not null and p is not null group by a, b, c""")
 def mixture_grid(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.matches_with_sources(spark, sf)
-    out = models.mixture_grid(rows, {n: [f"{c}_{s}" for s in ("1", "x", "2")] for n, c in _SOURCES.items()}, steps=4)
+    out = models.mixture_grid(rows, {n: [f"{c}_{s}" for s in ("1", "x", "2")] for n, c in _SOURCES.items()})
     return out.select(*[r6(f"w_{n}") for n in _SOURCES], r6("log_loss"))
 

@@ -181,7 +181,7 @@ def match_key_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 select d as date, ht as home, at_ as away, count(*) as rows from x where not is_empty and d is not null and ht <> '' and at_ <> ''
 group by 1, 2, 3 having count(*) > 1 order by 1, 2, 3 limit 20""")
 def match_key_duplicate_examples(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.duplicate_examples(audit.match_keys(facts(spark, sf)), ["date", "home", "away"])
+    return audit.duplicate_examples(audit.match_keys(facts(spark, sf)), ["date", "home", "away"], n=20)
 
 
 @query("T7 A12", FACTS + """

@@ -31,10 +31,10 @@ def duplicate_metrics(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()
     )
 
 
-def duplicate_examples(df: DataFrame, keys: Sequence[str], n: int = 20) -> DataFrame:
-    """The first ``n`` repeated keys in key order (a report limit)."""
+def duplicate_examples(df: DataFrame, keys: Sequence[str], n: int | None = None) -> DataFrame:
+    """Repeated keys with their rows, or with a report limit the first ``n`` in key order."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
-    return counted.orderBy(*keys).limit(n)
+    return counted if n is None else counted.orderBy(*keys).limit(n)
 
 
 def observed_distribution(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
@@ -257,7 +257,7 @@ def history_findings(
     )
     schemaless = counters.filter(~F.col("shot_schema_complete")).agg(
         F.count(F.lit(1)).alias("files_without_shots"),
-        F.slice(F.array_sort(F.collect_set("_source_file")), 1, 30).alias("affected_files"),
+        F.array_sort(F.collect_set("_source_file")).alias("affected_files"),
     )
     aliases = alias_candidates(team_seasons(facts)).filter(~F.col("overlaps")).agg(
         F.count(F.lit(1)).alias("alias_pairs")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -176,25 +176,24 @@ def bootstrap_interval(differences: DataFrame, value: str, replicates: int = 10_
     """95 % interval of the mean difference by Poisson bootstrap.
 
     Rows are first reduced to counts per distinct difference. A sum of unit Poisson weights is a
-    Poisson weight of the count, so a replicate costs one draw per distinct value instead of per row.
+    Poisson weight of the count, so a replicate costs one draw per distinct value instead of per row. A task
+    draws for its own values and emits one partial sum per replicate; draws depend on the value only, not on the
+    partitioning. Nulls are left out.
     """
-    counts = differences.groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("v", "n")))
-    packed = counts.agg(ordered.alias("hist"))
-    runs = packed.select(
-        F.transform("hist", lambda h: h["v"]).alias("v"), F.transform("hist", lambda h: h["n"]).alias("n"),
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
-    ).repartition(8, "replicate")
-
-    @F.pandas_udf(T.DoubleType())
-    def replicate_mean(v: pd.Series, n: pd.Series, r: pd.Series) -> pd.Series:
-        out = []
-        for values, sizes, i in zip(v, n, r):
-            weights = np.random.default_rng([seed, int(i)]).poisson(sizes)
-            out.append(float((values * weights).sum() / weights.sum()) if weights.sum() else 0.0)
-        return pd.Series(out, dtype="float64")
-
-    means = runs.select(replicate_mean("v", "n", "replicate").alias("m"))
+    counts = differences.select(F.col(value).cast("double").alias("v")).dropna().groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+
+    def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weight, total = np.zeros(replicates), np.zeros(replicates)
+        for pdf in frames:
+            for v, bits, n in zip(pdf["v"], pdf["v"].to_numpy(np.float64).view(np.uint64), pdf["n"], strict=True):
+                w = np.random.default_rng([seed, int(bits)]).poisson(n, replicates)
+                weight += w
+                total += v * w
+        yield pd.DataFrame({"replicate": np.arange(replicates), "weight": weight, "total": total})
+
+    drawn_sums = counts.mapInPandas(drawn, "replicate int, weight double, total double")
+    sums = drawn_sums.groupBy("replicate").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
+    means = sums.select(F.when(F.col("weight") > 0, F.col("total") / F.col("weight")).otherwise(0.0).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 

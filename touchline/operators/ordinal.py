@@ -104,6 +104,17 @@ def seasons_in_order(df: DataFrame) -> list[str]:
     return sorted((r["season"] for r in rows), key=key)
 
 
+def with_target_seasons(df: DataFrame) -> DataFrame:
+    """Every row once for each later season of the data, named ``target_season``: what a model of that season may learn from.
+
+    Rows multiply by the number of seasons at most, which the calendar bounds.
+    """
+    seasons = [(s, s.split("-")[0]) for s in seasons_in_order(df)]
+    later = [(s, t) for s, a in seasons for t, b in seasons if a.isdigit() and b.isdigit() and int(a) < int(b)]
+    pairs = df.sparkSession.createDataFrame(later, "season string, target_season string")
+    return df.join(F.broadcast(pairs), "season")  # one row per pair of seasons
+
+
 def with_calibration_holdout(blocks: DataFrame, share: float = 0.4) -> DataFrame:
     """Add ``is_holdout``: rows of the first ``share`` of the full blocks of each season."""
     counts = blocks.groupBy("season").agg(F.max("block").alias("_blocks"))
