@@ -11,6 +11,7 @@ from touchline.catalog.registry import query, r6
 from touchline.functions import probability as pr
 from touchline.functions import scores as sc
 from touchline.operators import blend, cleaning, compare, metrics, models, ordinal
+from touchline.plans import backtests
 
 S = f"with s as ({views.SOURCES_SQL})"
 RHO = -0.036
@@ -47,10 +48,11 @@ def dixon_coles_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 select match_id, string_agg(concat(hg, '-', ag), '|' order by r) as top_scores, round(max(case when r = 1 then p end), 6) as best_prob,
   round(max(lh), 6) as lambda_home from rk where r <= 3 group by match_id""")
 def score_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    top = sc.with_score_cells(goal_means(spark, sf), RHO).withColumn("top", sc.top_scores(F.col("cells"), 3))
-    return top.select(
-        "match_id", F.array_join(F.transform("top", lambda t: t["score"]), "|").alias("top_scores"),
-        F.round(F.col("top")[0]["prob"], 6).alias("best_prob"), r6("lambda_home"),
+    out = backtests.with_score_forecast(goal_means(spark, sf), RHO, max_goals=7)
+    top = F.from_json("pleno15_top_scores", "array<struct<score:string,prob:double>>")
+    return out.select(
+        "match_id", F.array_join(F.transform(top, lambda t: t["score"]), "|").alias("top_scores"),
+        r6("pleno15_confianza", "best_prob"), r6("pleno15_local_goles_esperados", "lambda_home"),
     )
 
 
@@ -85,22 +87,28 @@ def score_log_loss(spark: SparkSession, sf: str) -> DataFrame:
 _STEPS = "select unnest(range(41)) as step"
 
 
-@query("M8 J19", f"""with m as ({views.MATCHES_SQL}), l as (select fthg, ftag, {_GOALS} from m), k as (select unnest(range(8)) as g), st as ({_STEPS}),
+_RHO = f"""with m as ({views.MATCHES_SQL}), l as (select season, fthg, ftag, {_GOALS} from m), k as (select unnest(range(8)) as g), st as ({_STEPS}),
 h as (select *, row_number() over () as i from l),
-c as (select h.i, h.fthg, h.ftag, st.step, a.g as hg, b.g as ag, greatest(exp(-lh) * pow(lh, a.g) / factorial(cast(a.g as int)) * exp(-la) * pow(la, b.g) / factorial(cast(b.g as int))
+c as (select h.i, h.season, h.fthg, h.ftag, st.step, a.g as hg, b.g as ag, greatest(exp(-lh) * pow(lh, a.g) / factorial(cast(a.g as int)) * exp(-la) * pow(la, b.g) / factorial(cast(b.g as int))
     * case when a.g = 0 and b.g = 0 then 1 - lh * la * (-0.3 + 0.01 * step) when a.g = 1 and b.g = 0 then 1 + lh * (-0.3 + 0.01 * step)
       when a.g = 0 and b.g = 1 then 1 + la * (-0.3 + 0.01 * step) when a.g = 1 and b.g = 1 then 1 - (-0.3 + 0.01 * step) else 1 end, 1e-15) as w
   from h, st, k a, k b),
-t as (select i, step, sum(w) as tot, sum(case when hg = least(fthg, 7) and ag = least(ftag, 7) then w end) as own from c group by i, step)
+t as (select i, season, step, sum(w) as tot, sum(case when hg = least(fthg, 7) and ag = least(ftag, 7) then w end) as own from c group by i, season, step)"""
+
+
+@query("M8 J19", _RHO + """
 select cast(step as int) as step, round(sum(ln(own / tot)), 4) as log_likelihood, count(*) as matches from t group by step""")
 def rho_likelihoods(spark: SparkSession, sf: str) -> DataFrame:
     out = models.rho_likelihoods(goal_means(spark, sf))
     return out.select("step", F.round("log_likelihood", 4).alias("log_likelihood"), "matches")
 
 
-@query("M8 M19")
+@query("M8 M19", _RHO + """
+, sm as (select season, step, round(sum(ln(own / tot)), 9) as ll, count(*) as n from t group by season, step),
+b as (select *, row_number() over (partition by season order by ll desc, step) as k from sm)
+select season, n as matches, round(case when n >= 200 then -0.3 + 0.01 * step else -0.036 end, 6) as rho from b where k = 1""")
 def rho_by_season(spark: SparkSession, sf: str) -> DataFrame:
-    return models.best_rho(goal_means(spark, sf), ["season"])
+    return models.best_rho(goal_means(spark, sf), ["season"]).select("season", "matches", r6("rho"))
 
 
 # ---------------------------------------------------------------------------

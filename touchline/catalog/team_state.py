@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from touchline.catalog import views
 from touchline.catalog.registry import query, r6
-from touchline.functions.odds import implied_probabilities
-from touchline.functions.text import season_index
 from touchline.operators import elo as elo_ops
 from touchline.operators import features as ft
 from touchline.operators import form
 from touchline.operators import models, ordinal
+from touchline.session import stage
 
 M = f"with m as ({views.MATCHES_SQL})"
 TEAM = """, t as (
@@ -145,17 +144,7 @@ select match_id, round(p1, 6) as market_1, round(px, 6) as market_x, round(p2, 6
 from q""")
 def implied_market(spark: SparkSession, sf: str) -> DataFrame:
     names = ("market_1", "market_x", "market_2")
-    m = views.matches(spark, sf)
-    out = m.withColumns(implied_probabilities(("odd_1", "odd_x", "odd_2"), names)).withColumns(
-        implied_probabilities(("open_odd_1", "open_odd_x", "open_odd_2"), tuple(f"open_{n}" for n in names))
-    )
-    p = [F.col(n) for n in names]
-    entropy = -(p[0] * F.log(p[0]) + p[1] * F.log(p[1]) + p[2] * F.log(p[2]))
-    gap = F.greatest(*p) - F.greatest(*[F.col(f"open_{n}") for n in names])
-    out = out.withColumns({"market_entropy": entropy, "close_open_fav_gap": gap}).withColumns(
-        {f"market_move_{s}": F.col(f"market_{s}") - F.col(f"open_market_{s}") for s in ("1", "x", "2")}
-    )
-    return out.select(
+    return ft.with_market(views.matches(spark, sf)).select(
         "match_id", *[r6(n) for n in names], *[r6(f"open_{n}") for n in names],
         *[r6(f"market_move_{s}") for s in ("1", "x", "2")], r6("market_entropy"), r6("close_open_fav_gap"),
     )
@@ -248,16 +237,19 @@ select target, division, cast(sum(case when cast(substr(m.season, 1, 4) as int)
   count(distinct case when cast(substr(m.season, 1, 4) as int) < cast(substr(target, 1, 4) as int) then m.season end) as train_seasons
 from m, (select distinct season as target from m) s group by target, division""")
 def walk_forward_splits(spark: SparkSession, sf: str) -> DataFrame:
-    counts = views.matches(spark, sf).groupBy("season", "division").agg(F.count(F.lit(1)).alias("n"))
-    # One row per season and division is all that is left to compare.
-    targets = counts.select(F.col("season").alias("target")).distinct()
-    earlier = season_index(F.col("season")) < season_index(F.col("target"))
-    pairs = counts.withColumn("_one", F.lit(1)).join(targets.withColumn("_one", F.lit(1)), "_one")
-    return pairs.groupBy("target", "division").agg(
-        F.coalesce(F.sum(F.when(earlier, F.col("n"))), F.lit(0)).alias("train_matches"),
-        F.coalesce(F.sum(F.when(F.col("season") == F.col("target"), F.col("n"))), F.lit(0)).alias("test_matches"),
-        F.count_distinct(F.when(earlier, F.col("season"))).alias("train_seasons"),
-    )
+    # One row per season and division is all that the splits of every target read.
+    counts = stage(views.matches(spark, sf).groupBy("season", "division").agg(F.count(F.lit(1)).alias("n")))
+    divisions = counts.select("division").distinct()
+    out = None
+    for target in ordinal.seasons_in_order(counts):
+        train, test = ordinal.split_by_season(counts, target)
+        sizes = divisions.join(
+            train.groupBy("division").agg(F.sum("n").alias("train_matches"), F.count_distinct("season").alias("train_seasons")), "division", "left"
+        ).join(test.groupBy("division").agg(F.sum("n").alias("test_matches")), "division", "left")
+        part = sizes.fillna(0).withColumn("target", F.lit(target))
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
 
 @query("A5", M + """
