@@ -75,17 +75,17 @@ def top_double_combinations(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("ticket_id", "rank", F.array_join(F.transform("doubles", lambda i: i.cast("string")), "|").alias("doubles"), r6("expected_hits"), r6("second_sum"))
 
 
-@query("T6 J21 F18 F19 F20", TICKETS + """, a as (select ticket_id, sum(best) as base, list(best order by num) as bl, list(second order by num) as sl from z group by ticket_id),
+@query("T6 J21 F18 F19 F20", TICKETS + """, a as (select ticket_id, list(best order by num) as bl, list(list_sort([p1, px, p2])[2] order by num) as sl, list_reduce(bl, lambda x, y: x + y) as base from z group by ticket_id),
 n as (select unnest(range(1, 15)) as i),
 cb as (select cast(row_number() over (order by x.i, y.i, w.i) - 1 as int) as combination, x.i as i, y.i as j, w.i as k from n x, n y, n w where y.i > x.i and w.i > y.i),
-r as (select ticket_id, combination, i, j, k, base + sl[i] + sl[j] + sl[k] as e, sl[i] + sl[j] + sl[k] as s, bl, sl from a, cb),
+r as (select ticket_id, combination, i, j, k, base + (sl[i] + sl[j] + sl[k]) as e, sl[i] + sl[j] + sl[k] as s, bl, sl from a, cb),
 dist as (with recursive d(ticket_id, combination, num, h, v) as (
     select ticket_id, combination, 0, list_transform(range(1, 15), lambda x: bl[x] + case when x in (i, j, k) then sl[x] else 0 end),
       list_transform(range(15), lambda x: case when x = 0 then 1.0::double else 0.0::double end) from r
     union all
     select ticket_id, combination, num + 1, h, list_transform(v, lambda x, y: x * (1 - h[num + 1]) + case when y > 1 then v[y - 1] * h[num + 1] else 0 end) from d where num < 14)
   select ticket_id, combination, v from d where num = 14)
-select r.ticket_id, cast(row_number() over (partition by r.ticket_id order by round(e, 12) desc, r.combination) as int) as rank, r.combination,
+select r.ticket_id, cast(row_number() over (partition by r.ticket_id order by round(cast(cast(e as varchar) as decimal(38, 20)), 12) desc, r.combination) as int) as rank, r.combination,
   round(e, 6) as expected_hits, round(s, 6) as second_sum, """
        + ", ".join(f"round(list_sum(list_slice(v, {k + 1}, 15)), 6) as p_ge_{k}" for k in tk.TAILS) + """
 from r join dist on dist.ticket_id = r.ticket_id and dist.combination = r.combination""")
