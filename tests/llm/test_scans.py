@@ -50,6 +50,49 @@ def test_license_scan_equals_brute_force(spark):
     assert license_scan.report(documents(spark, [])).count() == 0
 
 
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+NOTICE = next(t.text for t in license_scan.NOTICES if t.name == "apache notice")
+
+
+def test_every_template_is_found_in_its_own_text(spark):
+    templates = license_scan.PHRASES + license_scan.NOTICES
+    data = [(i, f"before it {t.text} after it", "en", "s", 1) for i, t in enumerate(templates)]
+    data += [(100, NOTICE, "en", "s", 1), (101, APACHE, "en", "s", 1), (102, f"{NOTICE} {NOTICE}", "en", "s", 1), (None, NOTICE, "en", "s", 1)]
+    got = {r.doc_id: r for r in license_scan.report(documents(spark, data)).collect()}
+    for i, t in enumerate(templates):
+        assert t.label in got[i].labels.split(",") and got[i].score == 1, t.name
+    assert [(got[i].labels, got[i].score, got[i].n_spans) for i in (100, 102, None)] == [("apache", 1, 1), ("apache", 1, 2), ("apache", 1, 1)]
+    assert (got[101].labels, got[101].score) == ("apache", 1)
+
+
+def test_license_notice_amid_its_own_pairs_of_words(spark):
+    # Repeated pairs of words link a notice to what stands around it: the run is too long, its window is not.
+    noise = "the license " * 300
+    cut = " ".join(w for i, w in enumerate(NOTICE.split()) if i not in (6, 13))
+    data = [(1, noise + NOTICE + " " + noise, "en", "s", 1), (2, noise, "en", "s", 1), (3, NOTICE.replace("file", "old file"), "en", "s", 1), (4, cut, "en", "s", 1)]
+    data += [(5, " ".join(w + " filler" * 5 for w in NOTICE.split()), "en", "s", 1)]
+    got = {r.doc_id: r for r in license_scan.report(documents(spark, data)).collect()}
+    assert [got[i].labels for i in (1, 2, 3, 4, 5)] == ["apache", "", "apache", "apache", ""]
+    assert got[1].score == 1 and got[1].n_spans == 1
+
+
+def test_license_windows_equal_all_windows():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        run = sorted({(int(d), int(t)) for d, t in zip(rng.integers(0, 60, 40), rng.integers(0, 7, 40), strict=True)})
+        n = 8
+        covers = {}
+        for i, (d, _) in enumerate(run):
+            for e, _ in run[i:]:
+                if e + 2 - d <= 2 * n:
+                    covers[d, e + 2] = len({x for p, t in run if d <= p <= e for x in (t, t + 1)}) / n
+        got = license_scan.verified(run, n, 0.6)
+        good = [w for w, share in covers.items() if share >= 0.6]
+        assert all(covers[s, e] >= share >= 0.6 for s, e, share in got) and all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+        assert max((x[2] for x in got), default=0) == max((covers[w] for w in good), default=0)
+        assert all(any(s < b and a < e for s, e, _ in got) for a, b in good)  # nothing is left out
+
+
 def plain_contamination(text, items, window=13):
     w, hit, found = words(text), set(), set()
     for item, t in items:

@@ -1,17 +1,19 @@
 """License scan by diagonal voting.
 
 Every rolling word k-gram of a document is joined, by hash, to the positions where license templates hold it. Hits of one
-template on one diagonal (document position less template position) vote together; neighbouring diagonals merge, so that a few
+template on one diagonal (document position less template position) form runs; runs of neighbouring diagonals merge, so that a few
 inserted or missing words do not break a span; merged spans are verified by the words they share with the template.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from touchline.llm.common import words
 from touchline.session import stage
@@ -93,28 +95,108 @@ def hits(documents: DataFrame, positions: DataFrame) -> DataFrame:
     return met.select("doc_id", "key", "template", "label", "phrase", "share", "t_words", "d_pos", "t_pos").distinct()
 
 
+def merged_runs(hits_: Sequence[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Hits ``(d_pos, t_pos)`` in document order, split into merged runs.
+
+    A hit continues the run of its own diagonal, and merges it with those of diagonals at most SHIFT away, where their last
+    hit is at most GAP back. Hits of other diagonals in between, as of a pair of words that a template has twice, part nothing.
+    """
+    up, last = list(range(len(hits_))), {}
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, (d, t) in enumerate(hits_):
+        for diagonal in range(d - t - SHIFT, d - t + SHIFT + 1):
+            j = last.get(diagonal)
+            if j is not None and d - hits_[j][0] <= GAP:
+                one, two = root(i), root(j)
+                up[max(one, two)] = min(one, two)
+        last[d - t] = i
+    out: dict[int, list[tuple[int, int]]] = {}
+    for i, hit in enumerate(hits_):
+        out.setdefault(root(i), []).append(hit)
+    return list(out.values())
+
+
+def _windows(run: Sequence[tuple[int, int]], t_words: int, least: float) -> list[tuple[int, int, int]]:
+    """``-covered, words, start`` of the tightest window up to every hit that is short enough and covers enough."""
+    count, covered, left, out = [0] * (t_words + 1), 0, 0, []
+    for d, t in run:
+        for x in range(t, t + GRAM):
+            covered += not count[x]
+            count[x] += 1
+        while d + GRAM - run[left][0] > 2 * t_words or all(count[x] > 1 for x in range(run[left][1], run[left][1] + GRAM)):
+            for x in range(run[left][1], run[left][1] + GRAM):
+                count[x] -= 1
+                covered -= not count[x]
+            left += 1
+        if covered / t_words >= least:
+            out.append((-covered, d + GRAM - run[left][0], run[left][0]))
+    return out
+
+
+def verified(run: Sequence[tuple[int, int]], t_words: int, least: float) -> list[tuple[int, int, float]]:
+    """``start, end, share`` of the spans of a merged run that cover ``least`` of the template's words, each word once.
+
+    A span has at most twice the template's words. A longer run, as of a text that repeats parts of a template, gives its
+    best windows that do not meet, and those of what they leave.
+    """
+    start, end = run[0][0], run[-1][0] + GRAM
+    if end - start <= 2 * t_words:
+        share = len({x for _, t in run for x in range(t, t + GRAM)}) / t_words
+        return [(start, end, share)] if share >= least else []
+    out, rest = [], [list(run)]
+    while rest:
+        run, taken = rest.pop(), []
+        for covered, words_, at in sorted(_windows(run, t_words, least)):
+            i = bisect_left(taken, (at, at))
+            if (i == 0 or taken[i - 1][1] <= at) and (i == len(taken) or taken[i][0] >= at + words_):
+                insort(taken, (at, at + words_))
+                out.append((at, at + words_, -covered / t_words))
+        if taken:
+            places, i = [d for d, _ in run], 0
+            for at, to in [*taken, (places[-1] + GRAM, 0)]:
+                part = run[i : bisect_left(places, at - GRAM + 1)]
+                rest += [part] if part else []
+                i = bisect_left(places, to)
+    return sorted(out)
+
+
+LONG_SPANS = "doc_id string, key long, template string, label string, start int, end int, share_found double"
+
+
 def spans(hits_: DataFrame) -> DataFrame:
     """``doc_id, key, template, label, start, end, share_found``: verified spans, word positions, end exclusive."""
     who = ["doc_id", "key", "template"]
     what = ["label", "phrase", "share", "t_words"]
     diagonal = hits_.withColumn("diagonal", F.col("d_pos") - F.col("t_pos"))
     # Votes: a phrase needs every one of its k-grams on one diagonal.
-    votes = diagonal.groupBy(*who, *what, "diagonal").agg(F.count(F.lit(1)).alias("votes"))
-    phrases = votes.filter("phrase").filter(F.col("votes") == F.col("t_words") - (GRAM - 1))
+    votes = diagonal.filter("phrase").groupBy(*who, *what, "diagonal").agg(F.count(F.lit(1)).alias("votes"))
+    phrases = votes.filter(F.col("votes") == F.col("t_words") - (GRAM - 1))
     phrases = phrases.select(*who, "label", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("t_words")).alias("end"), F.lit(1.0).alias("share_found"))
-    # Longer templates: runs of hits in document order whose diagonals and positions stay close.
-    order = Window.partitionBy(*who).orderBy("d_pos", "t_pos")
-    near = (F.col("d_pos") - F.lag("d_pos").over(order) <= GAP) & (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= SHIFT)
-    marked = diagonal.filter("not phrase").withColumn("new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1))
-    run = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # Template words covered, of each run: a word counts once.
-    merged = marked.withColumn("run", run).groupBy(*who, *what, "run").agg(
-        F.min("d_pos").alias("start"), (F.max("d_pos") + GRAM).alias("end"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.array(F.col("t_pos"), F.col("t_pos") + 1))))).alias("covered"),
-    )
-    found = F.col("covered") / F.col("t_words")
-    long = merged.withColumn("share_found", found).filter((F.col("share_found") >= F.col("share")) & (F.col("end") - F.col("start") <= 2 * F.col("t_words")))
-    return phrases.unionByName(long.select(*who, "label", "start", "end", "share_found"))
+    # Longer templates: one row per document and template, bounded by the document's length. Where all hits together cover
+    # too few of the template's words, no span of them can do.
+    places = F.sort_array(F.collect_list(F.struct("d_pos", "t_pos")))
+    met = hits_.filter("not phrase").groupBy(*who, *what).agg(places.alias("at"), F.collect_set("t_pos").alias("t"))
+    met = met.filter(F.size(F.array_distinct(F.flatten(F.transform("t", lambda t: F.array(*[t + i for i in range(GRAM)]))))) / F.col("t_words") >= F.col("share"))
+    met = met.select(F.col("doc_id").cast("string").alias("doc_id"), "key", "template", "label", "share", "t_words", F.col("at.d_pos").alias("d"), F.col("at.t_pos").alias("t"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = [
+                (r.doc_id, r.key, r.template, r.label, *span)
+                for r in pdf.itertuples()
+                for part in merged_runs(list(zip(r.d.tolist(), r.t.tolist(), strict=True)))
+                for span in verified(part, r.t_words, r.share)
+            ]
+            yield pd.DataFrame(out, columns=[*who, "label", "start", "end", "share_found"])
+
+    long = met.mapInPandas(run, LONG_SPANS).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return phrases.unionByName(long)
 
 
 def report(documents: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, base: tuple[Template, ...] = PHRASES) -> DataFrame:
