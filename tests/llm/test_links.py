@@ -81,6 +81,21 @@ def test_near_duplicates_clean_and_empty(spark):
     assert minhash_dedup.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_clean_judges_rows_not_ids(spark):
+    import random
+
+    rng = random.Random(4)
+    copied, other, own, last = (sentence(rng, 60) for _ in range(4))
+    data = [
+        (1, copied), (None, copied), (None, other), (None, None), (7, copied), (7, own), (8, last), (8, last), (None, ""),
+        (9, copied), (9, other),  # the null id of the other text names no component
+    ]
+    docs = with_clashes(documents(spark, [(i, t, "en", "s", n) for n, (i, t) in enumerate(data)]))
+    kept = minhash_dedup.clean(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.n_chars for r in kept.collect()) == [0, 3, 5, 6, 7, 8, 10]
+
+
 def test_trees_reach_the_recall():
     rng = np.random.default_rng(4)
     one = (1 - 0.15**2) ** 3

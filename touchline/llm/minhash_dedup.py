@@ -29,7 +29,10 @@ BRANCH = 2
 #: Sets compared exactly in one piece.
 SET_BLOCK = 128
 
-SIGNATURES = "doc_id string, n_shingles long, k binary, sig array<int>, sketch binary"
+#: Key of a row of the documents, whatever its doc_id.
+ROW = "__document_row"
+
+SIGNATURES = f"{ROW} long, doc_id string, n_shingles long, k binary, sig array<int>, sketch binary"
 
 
 def trees_for(recall: float, similarity: float, branch: int = BRANCH, depth: int = DEPTH) -> int:
@@ -89,7 +92,7 @@ class Signer:
 
 
 def signatures(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, n_shingles, k`` (128-bit name of the set), ``sig, sketch``; without words the last three are null."""
+    """ROW, ``doc_id, n_shingles, k`` (128-bit name of the set), ``sig, sketch``; without words the last three are null."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, signer = WordHasher("blank"), Signer(COORDINATES)
@@ -97,12 +100,12 @@ def signatures(documents: DataFrame, shingle: int = 3) -> DataFrame:
             sets = shingle_sets(*hasher(texts_of(pdf["text"])), shingle)
             sigs = [signer(s) if len(s) else None for s in sets]
             yield pd.DataFrame({
-                "doc_id": list(pdf["doc_id"]), "n_shingles": [len(s) for s in sets], "k": [set_key(s) if len(s) else None for s in sets],
+                ROW: pdf[ROW], "doc_id": list(pdf["doc_id"]), "n_shingles": [len(s) for s in sets], "k": [set_key(s) if len(s) else None for s in sets],
                 "sig": [None if x is None else x.view(np.int32) for x in sigs],
                 "sketch": [None if x is None else mix(x.astype(np.uint64)).astype(np.uint8).tobytes() for x in sigs],
             })
 
-    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, SIGNATURES).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return documents.select(ROW, F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, SIGNATURES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _children(rows: DataFrame, branch: int) -> DataFrame:
@@ -183,6 +186,10 @@ def full_sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFram
     return met.mapInPandas(run, "k binary, g binary, payload binary").dropDuplicates(["k"])
 
 
+def keyed(documents: DataFrame) -> DataFrame:
+    return documents.withColumn(ROW, F.monotonically_increasing_id())
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85, shingle: int = 3, recall: float = 0.99999) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per document.
 
@@ -192,6 +199,11 @@ def near_duplicates(documents: DataFrame, percent: int = 85, shingle: int = 3, r
     have an empty set and link with nothing. Rows that share a doc_id each get a row; a null doc_id takes part, but names a
     component only if no other member does. A pair at the threshold is missed with a probability below ``1 - recall``.
     """
+    return row_components(keyed(documents), percent, shingle, recall).drop(ROW)
+
+
+def row_components(documents: DataFrame, percent: int, shingle: int, recall: float = 0.99999) -> DataFrame:
+    """As ``near_duplicates``, with the ROW of ``documents``."""
     signed = stage(signatures(documents, shingle))
     reps = stage(signed.filter(F.col("k").isNotNull()).groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
     trees = trees_for(recall, percent / 100)
@@ -200,15 +212,20 @@ def near_duplicates(documents: DataFrame, percent: int = 85, shingle: int = 3, r
     wanted = close.join(reps.select("k", "doc_id"), close["node"] == reps["k"]).select("doc_id", "k", F.col("root").alias("g"))
     sets = stage(full_sets(documents, wanted, shingle))
     linked = components(links(sets, SetCompare(percent), SET_BLOCK))
-    named = signed.select("doc_id", "n_shingles", "k").join(linked.select(F.col("node").alias("k"), "root"), "k", "left")
+    named = signed.select(ROW, "doc_id", "n_shingles", "k").join(linked.select(F.col("node").alias("k"), "root"), "k", "left")
     named = named.withColumn("c", F.coalesce("root", "k")).drop("root", "k")
     alone = named.filter(F.col("c").isNull()).withColumn("component_id", F.col("doc_id"))
     smallest = named.filter(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("component_id"))
     out = named.filter(F.col("c").isNotNull()).join(smallest, "c").unionByName(alone)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(ROW, "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def clean(documents: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
-    """The documents without those that are linked to one of a smaller id; columns as they came."""
-    gone = near_duplicates(documents, percent, shingle).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """The documents without the rows that are linked to a row of a smaller id; columns as they came.
+
+    Rows go one by one, by a key that is written once with them: a row with a null or shared doc_id goes only if its own text
+    is a copy. Repeated rows, with one doc_id and linked texts, all stay.
+    """
+    docs = stage(keyed(documents))
+    gone = row_components(docs, percent, shingle).filter(~F.col("kept")).select(ROW)
+    return docs.join(gone, ROW, "left_anti").select(documents.columns)
