@@ -184,6 +184,30 @@ def test_secret_scan_base_equals_brute_force(spark):
     assert secret_scan.report(documents(spark, [])).count() == 0
 
 
+def test_secret_scan_of_long_parts(spark):
+    import random
+    import time
+
+    rng = random.Random(2)
+    key = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789+/", k=2000))
+    blob = key * 500  # a million characters
+    path = "segment-" * 100
+    data = [
+        (1, f"user = alice\nkey {key}\nend", "en", "s", 1), (2, f"user = alice\nhost https://example.com/{path}\nkey {key[:40]}", "en", "s", 1),
+        (3, f"user = {'alice.' * 50}\nkey {key[:40]}", "en", "s", 1), (4, f"key {key}", "en", "s", 1), (5, f"user = alice\nkey {blob}==", "en", "s", 1),
+    ]
+    got = {r.doc_id: r.spans for r in secret_scan.report(documents(spark, data)).collect()}
+    assert got[1] == "identifier:0:12,opaque:17:2017"
+    assert got[2] == f"identifier:0:12,endpoint:18:{18 + 20 + 800},opaque:{18 + 20 + 800 + 5}:{18 + 20 + 800 + 45}"
+    assert got[3] == "identifier:0:307,opaque:312:352" and got[4] == ""
+    assert got[5] == "identifier:0:12,opaque:17:1000019"
+    # Long runs that end as no part at all: one pass, not one for every place.
+    start = time.perf_counter()
+    for text in (blob + "===", blob + "_=" * 3, "https://" * 100_000, "user=" * 100_000):
+        secret_scan.weak_spans(text)
+    assert time.perf_counter() - start < 20
+
+
 PRIVATE = [
     (800, "a@b.c x@y mail me.you+1@mail7.example.com, a@b.c@d.e.f _@-.- a@b.c_d@e.f", "en", "s", 1), (801, "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 01.002.0003.255 1.2.3", "en", "s", 1),
     (802, "4111 1111 1111 1111 and 4111-1111-1111-1112 23904095006489609 4 1 1", "en", "s", 1), (803, "+1 (377) 555-0271 and +44 20 7946 0958. +1 2 +123456789012345678", "en", "s", 1),

@@ -28,11 +28,11 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 BASE_KINDS = ("assign", "access", "hex")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Weak parts. Kinds that the method adds come after the base ones.
+#: Weak parts, of any length. Kinds that the method adds come after the base ones. The look-behind keeps the search linear.
 WEAK_KINDS = ("identifier", "opaque", "endpoint")
-IDENTIFIER = re.compile(r"""(?ai:\b(?:user(?:name)?|login|account|client_?id|key_?id|tenant))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,128})""")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"(?a:\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,512})")
+IDENTIFIER = re.compile(r"""(?ai:\b(?:user(?:name)?|login|account|client_?id|key_?id|tenant))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"(?a:\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,})")
 KINDS = BASE_KINDS + WEAK_KINDS
 
 #: Lines apart that two parts may stand, inside one scope. A scope ends at a blank line.
