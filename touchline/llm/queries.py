@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import decontamination, embedding_dedup, license_scan, minhash_dedup, mixing, pii, quality, secret_scan, sharding, url_filter
+from touchline.llm import (
+    chat_format, code_compression, decontamination, embedding_dedup, license_scan, minhash_dedup, mixing, pii, prefix_trie, quality, secret_scan, sharding, url_filter,
+)
 from touchline.session import prepare
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -57,11 +59,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one more conversation, -1, whose texts consist of the template's own marks."""
+    marks = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"'{marks}' as text")
+    return chat_format.report(rows.unionByName(probe))
+
+
+def op13_member_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, QueryFunction] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_benchmark_decontamination, op3_secret_scan, op4_subspace_pigeonhole, op5_temperature_mixing,
         op6_url_filter, op7_minhash_near_dedup, op8_pii_crf, op9_sampled_splitters, op10_quality_classifier,
+        op11_conversation_prefix_trie, op12_chat_formatting, op13_member_resident_lloyd,
     )
 }
 
@@ -164,3 +183,109 @@ select d.doc_id, coalesce(n_shingles, 0) as n_shingles, component_id, d.doc_id =
 from d join c using (doc_id) left join n using (doc_id)
 """,
 }
+
+_MARK = r"([<\[])(\\*)(<SYS>>|</SYS>>|INST\]|/INST\]|s>|/s>|ROLE\]|TEXT\]|/ROLE\])"
+
+
+def _escaped_length(column: str) -> str:
+    return rf"length(regexp_replace({column}, '{_MARK}', '\1\2\\\3', 'g'))"
+
+
+#: CRC-32 of a number's decimal digits, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda x: ascii(x)::bigint)),
+    lambda v, x: list_reduce(list_prepend(xor(v, x), range(8)), lambda y, i: xor(y >> 1, (y & 1) * 3988292384::bigint))), 4294967295::bigint)"""
+
+SQL["op11_conversation_prefix_trie"] = f"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, sha256(coalesce(text, '')) as t, length(coalesce(text, ''))::bigint as chars,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as n
+  from conversations where conv_id is not null
+),
+sizes as (select conv_id, count(*) as n, conv_id - conv_id % 100 as base, {_CRC32} % 6 as h from turns group by conv_id),
+known as (select s.conv_id, s.base, s.h, s.n, least(s.h, coalesce(b.n, 0)) as lent from sizes s left join sizes b on b.conv_id = s.base),
+rebuilt as (
+  select conv_id, t.n - h + lent as pos, lent + n_all - h as len, role, t, chars from (select turns.*, known.n as n_all, h, lent from turns join known using (conv_id)) t where t.n > h
+  union all
+  select k.conv_id, t.n, k.lent + greatest(k.n - k.h, 0), role, t, chars from known k join turns t on t.conv_id = k.base and t.n <= k.lent
+),
+prefix as (
+  select conv_id, pos, len, chars, sha256(string_agg(length(role) || ':' || role || t, '|') over (partition by conv_id order by pos)) as k from rebuilt
+  union all
+  select conv_id, 0, lent + greatest(n - h, 0), 0, '' from known
+),
+linked as (select *, lag(k) over (partition by conv_id order by pos) as pk from prefix),
+node as (
+  select pos, k, min(pk) as pk, min(conv_id) as conv_id, count(*) as n, max(chars) as chars,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (pos = len), '')) as ends_sha256
+  from linked group by pos, k
+),
+kids as (select pos - 1 as pos, pk as k, count(*) as n_children from node where pos > 0 group by all),
+node2 as (select node.*, coalesce(n_children, 0) as n_children from node left join kids using (pos, k)),
+below as (
+  select p.pos, p.k, sum((y.n_children = 0)::bigint)::bigint as n_leaves, sum((y.n - 1) * y.chars)::bigint as saved_tokens
+  from node2 y join prefix p on p.conv_id = y.conv_id and p.pos <= y.pos group by p.pos, p.k
+)
+select x.conv_id, x.pos::bigint as depth, up.conv_id as parent_conv_id, x.n as n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+from node2 x join below using (pos, k) left join node2 up on up.pos = x.pos - 1 and up.k = x.pk
+"""
+
+SQL["op12_chat_formatting"] = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -1, v.turn, v.role, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) v(turn, role)
+),
+piece as (
+  select *, row_number() over w as n, count(*) over (partition by conv_id) as last,
+    {_escaped_length("text")} + case role when 'system' then 15 when 'user' then 13 when 'assistant' then 7 else 19 + {_escaped_length("role")} end as size
+  from turns window w as (partition by conv_id order by turn nulls first, role, text)
+),
+upto as (select *, sum(size) over (partition by conv_id order by n) as chars from piece)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  length(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), ''))::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256,
+  (sum(chars) filter (role = 'assistant' or n = last))::bigint as formatted_chars
+from upto group by conv_id
+"""
+
+
+def _lloyd_sql(rounds: int = code_compression.ROUNDS) -> str:
+    """The rounds written one after the other; dot products of integers are exact in doubles."""
+
+    def nearest(k: int) -> str:
+        return f"""
+a{k} as materialized (
+  select r, p, arg_min(e, d * 256 + e) as e, min(d) as d
+  from (select r, parts.p, e, x2 + y2 - 2 * list_dot_product(x, y) as d from parts join b{k} using (p)) group by r, p
+)"""
+
+    steps = [nearest(0)]
+    for k in range(1, rounds + 1):
+        steps.append(f"""
+m{k} as (
+  select p, e, list(v order by i) as y
+  from (
+    select p, e, i, floor(sum(v) / count(*)) as v from (select p, e, unnest(x) as v, generate_subscripts(x, 1) as i from a{k - 1} join parts using (r, p)) group by p, e, i
+  ) group by p, e
+),
+b{k} as materialized (
+  select p, e, y, list_dot_product(y, y) as y2 from (select b.p, b.e, coalesce(m.y, b.y) as y from b{k - 1} b left join m{k} m using (p, e))
+)""")
+        steps.append(nearest(k))
+    return f"""
+with kept as (
+  select row_number() over (order by vec_id nulls last) as r, vec_id, label, list_transform(embedding, lambda x: floor(x::double * 1024)) as x
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+parts as materialized (
+  select r, p, x, list_dot_product(x, x) as x2 from (select r, p, x[p * len(x) // 4 + 1 : (p + 1) * len(x) // 4] as x from kept, range(4) t(p))
+),
+b0 as materialized (select p, r - 1 as e, x as y, x2 as y2 from parts where r <= 256),
+{",".join(steps)},
+sha as (select sha256(string_agg(array_to_string(list_transform(y, lambda v: cast(v::bigint as varchar)), ','), ',' order by p, e)) as codebooks_sha256 from b{rounds}),
+coded as (select r, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' order by p) as code, sum(d)::bigint as error from a{rounds} group by r)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from kept join coded using (r), sha
+"""
+
+
+SQL["op13_member_resident_lloyd"] = _lloyd_sql()
