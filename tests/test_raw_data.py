@@ -1,6 +1,7 @@
 """Parsing, sanitising, audit, names, readers and writers."""
 
 import itertools
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -144,6 +145,46 @@ def test_similar_names_equal_brute_force(spark):
     assert got == want
 
 
+def _many_names(n=400):
+    rng = random.Random(1)
+    parts = "ca diz le van te ma la ga gi jon na va rra al me ri o vi edo ne fe hu es mur cia za go se lla bar ce lo ter uel".split()
+    out = set()
+    while len(out) < n:
+        base = "".join(rng.choices(parts, k=rng.randint(2, 6))) + (" " + "".join(rng.choices(parts, k=rng.randint(1, 4))) if rng.random() < 0.4 else "")
+        out |= {base, rng.choice(["real ", "cd ", "ud "]) + base if rng.random() < 0.2 else base}
+        for _ in range(rng.randint(0, 2)):  # spelling variants
+            t = list(base)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "e", "io"])
+            out.add(" ".join("".join(t).split()) or base)
+    return sorted(out)
+
+
+def _similar(a, b):
+    x, y, club = set(a.split()), set(b.split()), set(names.CLUB_WORDS)
+    return (x < y and y - x <= club) or (y < x and x - y <= club) or SequenceMatcher(None, a, b).ratio() >= names.SIMILARITY
+
+
+def test_similar_names_meet_by_segments(spark):
+    teams = [*_many_names(), "a", "b", "ab", "real cd", "a" * 90 + "b", "a" * 91, "x" + "a" * 85]
+    df = spark.createDataFrame([(t, t) for t in teams], "team string, folded string")
+    every = list(itertools.combinations(sorted(teams), 2))
+    want = {p for p in every if _similar(*p)}
+    assert {(r["left"], r["right"]) for r in names.similar_name_pairs(df).collect()} == want
+    assert names.name_candidates(df).count() < 0.05 * len(every) and len(want) > 100
+
+
+def test_overlapping_names_leave_before_scoring(spark):
+    teams = _many_names(60)
+    rows = [(t, f"s{(n * 7 + k) % 5}") for n, t in enumerate(teams) for k in range(2)]
+    frame = spark.createDataFrame(rows, "team string, season string")
+    every, apart = names.alias_candidates(frame), names.alias_candidates(frame, keep_overlapping=False)
+    pairs = lambda df: {(r["left"], r["right"], r["similarity"]) for r in df.collect()}
+    assert pairs(apart) == pairs(every.filter(~F.col("overlaps"))) != pairs(every)
+    assert not apart.filter("overlaps").count()
+
+
 def test_xg_window(spark):
     m = spark.createDataFrame([(1, "2024-01-01", "A", "B"), (2, "2024-02-01", "A", "B"), (3, "2024-03-01", "A", "B")], "match_id long, date string, home string, away string")
     m = m.withColumn("date", F.to_date("date"))

@@ -270,6 +270,25 @@ def alias_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return names.alias_candidates(teams).select("left", "right", "similarity", "method", "overlaps")
 
 
+_CLUB_NAME = """concat(case p_partkey % 5 when 0 then 'Real ' when 1 then 'CD ' else '' end, p_name, case p_partkey % 7 when 0 then ' F.C.' when 1 then ' Deportivo' else '' end)"""
+
+
+@query("J16 F6 U4", f"""
+with t as (select distinct {_CLUB_NAME} as team, cast(p_size as varchar(5)) as season from part),
+n as (select team, list_sort(list(season)) as seasons, trim(regexp_replace(lower(team), '[^a-z0-9]+', ' ', 'g')) as folded from t group by team),
+w as (
+  select team, seasons, words, array_to_string(list_sort(list_filter(words, lambda x: not list_contains({list(names.CLUB_WORDS)}, x))), ' ') as core
+  from (select team, seasons, list_distinct(string_split(folded, ' ')) as words from n)
+)
+select a.team as "left", b.team as "right", list_has_any(a.seasons, b.seasons) as overlaps
+from w a join w b on a.core = b.core and a.team < b.team
+where (list_has_all(b.words, a.words) and len(a.words) < len(b.words)) or (list_has_all(a.words, b.words) and len(b.words) < len(a.words))""")
+def club_word_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs that the alias search finds by words; the ratio of the others has no SQL."""
+    teams = views.table(spark, sf, "part").select(F.expr(_CLUB_NAME).alias("team"), F.col("p_size").cast("string").alias("season")).distinct()
+    return names.alias_candidates(teams).filter("method = 'tokens_with_club_qualifier'").select("left", "right", "overlaps")
+
+
 @query("J16", """
 select cast((n * (n - 1) - (n - r) * (n - r - 1)) / 2 as bigint) as reserve_pairs from (
   select count(*) as n, sum(case when regexp_matches(lower(team), '( |^)(b|ii|u23|reserves?)$') then 1 else 0 end) as r

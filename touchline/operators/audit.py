@@ -259,7 +259,7 @@ def history_findings(
         F.count(F.lit(1)).alias("files_without_shots"),
         F.array_sort(F.collect_set("_source_file")).alias("affected_files"),
     )
-    aliases = alias_candidates(team_seasons(facts)).filter(~F.col("overlaps")).agg(
+    aliases = alias_candidates(team_seasons(facts), keep_overlapping=False).agg(
         F.count(F.lit(1)).alias("alias_pairs")
     )
     single = totals(counters)

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -238,83 +238,137 @@ def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
-def _char_tokens(name: Column) -> Column:
-    """Characters numbered by occurrence ("a1", "a2"), so a multiset becomes a set."""
-    chars = F.array_sort(F.filter(F.split(name, ""), lambda c: c != ""))
-    numbered = F.transform(
-        chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c) + 1).cast("string"))
-    )
-    return F.when(F.length(name) == 0, F.array(F.lit("(empty)"))).otherwise(numbered)
+#: Edits up to which a pair has to share two segments of its names; beyond, one longer segment.
+TWO_SEGMENTS = 4
 
 
-def similar_name_pairs(names: DataFrame) -> DataFrame:
-    """All pairs of folded names that are similar, without comparing every pair.
+def _allowed(both: Column) -> Column:
+    """Most characters two names of ``both`` characters together may leave unmatched at the wanted ratio.
+
+    A ratio of 2 M / T leaves T - 2 M characters, a number of the parity of T.
+    """
+    most = F.floor((1 - SIMILARITY) * both + 1e-9)
+    return (most - (both - most) % 2).cast("int")
+
 
-    ``names`` holds ``team`` and ``folded``. Two exact blocking rules find the candidates:
+def _shown() -> Column:
+    """``i, j``: every choice of two of the ``k`` segments, or of one, named twice.
 
-    * names that differ only in club words share the set of their other words;
-    * a matching ratio of r needs r/2 of both lengths as common characters, so each name only has to
-      show its rarest characters (prefix filter) and lengths must be within the implied bound.
+    With at most d edits, d + 2 segments leave two untouched and d + 1 leave one.
     """
+    one = F.sequence(F.lit(0), F.col("k") - 1)
+    two = F.flatten(F.transform(F.sequence(F.lit(0), F.col("k") - 2), lambda i: F.transform(F.sequence(i + 1, F.col("k") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    single = F.transform(one, lambda i: F.struct(i.alias("i"), i.alias("j")))
+    return F.inline(F.when(F.col("d") <= TWO_SEGMENTS, two).otherwise(single))
+
+
+def _start(i: Column, n: Column, k: Column) -> Column:
+    return F.floor(i * n / k).cast("int")
+
+
+def _banded(names: DataFrame, shorter: bool) -> DataFrame:
+    """Each name with every partner length of the other side: ``team, folded, n (shorter), m (longer), d, k``."""
+    own, wide = F.length("folded"), (2 - SIMILARITY) / SIMILARITY
+    if shorter:
+        lengths = names.select("team", "folded", own.alias("n")).withColumn("m", F.explode(F.sequence(F.col("n"), F.floor(F.col("n") * wide + 1e-9).cast("int"))))
+    else:
+        lengths = names.select("team", "folded", own.alias("m")).withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") / wide - 1e-9).cast("int"), F.col("m"))))
+    out = lengths.withColumn("d", _allowed(F.col("n") + F.col("m"))).filter(F.col("d") >= F.col("m") - F.col("n"))
+    return out.withColumn("k", F.col("d") + F.when(F.col("d") <= TWO_SEGMENTS, 2).otherwise(1))
+
+
+def name_signatures(names: DataFrame) -> DataFrame:
+    """``team, folded, signature``: the shorter side of a pair, cut into segments for every length of a longer partner."""
+    i, j, n, k = F.col("i"), F.col("j"), F.col("n"), F.col("k")
+    cut = _banded(names, True).select("team", "folded", "n", "m", "k", _shown())
+    part = lambda x: F.substring("folded", _start(x, n, k) + 1, _start(x + 1, n, k) - _start(x, n, k))
+    return cut.select("team", "folded", F.struct("n", "m", "i", "j", part(i).alias("a"), part(j).alias("b")).alias("signature"))
+
+
+def name_probes(names: DataFrame) -> DataFrame:
+    """``team, folded, signature``: the longer side, read wherever edits may have shifted the segments of a shorter partner."""
+    i, j, n, k, d, gap = F.col("i"), F.col("j"), F.col("n"), F.col("k"), F.col("d"), F.col("m") - F.col("n")
+    cut = _banded(names, False).select("team", "folded", "n", "m", "d", "k", _shown())
+    low, high = -F.floor((d - gap) / 2).cast("int"), F.floor((d + gap) / 2).cast("int")
+    shifted = cut.withColumn("u", F.explode(F.sequence(low, high)))
+    shifted = shifted.withColumn("v", F.explode(F.when(i == j, F.array("u")).otherwise(F.sequence(low, high))))
+    # The edits before, between and after the two segments make up their shifts and the gap in length.
+    shifted = shifted.filter(F.abs("u") + F.abs(F.col("v") - F.col("u")) + F.abs(gap - F.col("v")) <= d)
+    at, size = lambda x, by: _start(x, n, k) + by, lambda x: _start(x + 1, n, k) - _start(x, n, k)
+    inside = lambda x, by: (at(x, by) >= 0) & (at(x, by) + size(x) <= F.col("m"))
+    shifted = shifted.filter(inside(i, F.col("u")) & inside(j, F.col("v")))
+    part = lambda x, by: F.substring("folded", at(x, by) + 1, size(x))
+    signature = F.struct("n", "m", "i", "j", part(i, F.col("u")).alias("a"), part(j, F.col("v")).alias("b")).alias("signature")
+    return shifted.select("team", "folded", signature).distinct()
+
+
+def name_candidates(names: DataFrame) -> DataFrame:
+    """``l_team, r_team, l_folded, r_folded``: pairs of names that share a signature, a small part of all pairs.
+
+    No pair with the wanted ratio is missed: its matching blocks leave at most ``_allowed`` characters, so one of the signatures
+    is untouched. Names are met by equality of signatures.
+    """
+    short = name_signatures(names).select(F.col("team").alias("s_team"), F.col("folded").alias("s_folded"), "signature")
+    long = name_probes(names).select(F.col("team").alias("t_team"), F.col("folded").alias("t_folded"), "signature")
+    met = short.join(long, "signature").filter(F.col("s_team") != F.col("t_team"))
+    ordered = F.col("s_team") < F.col("t_team")
+    pick = lambda a, b, alias: F.when(ordered, F.col(a)).otherwise(F.col(b)).alias(alias)
+    return met.select(
+        pick("s_team", "t_team", "l_team"), pick("t_team", "s_team", "r_team"), pick("s_folded", "t_folded", "l_folded"), pick("t_folded", "s_folded", "r_folded"),
+    ).distinct()
+
+
+def club_word_pairs(names: DataFrame) -> DataFrame:
+    """``l_team, r_team, l_folded, r_folded``: names that differ only by club words which one of them has in addition."""
     words = F.array_distinct(F.split("folded", " "))
     club = F.array(*[F.lit(w) for w in CLUB_WORDS])
-    base = names.withColumn("words", words).withColumn(
-        "core", F.array_join(F.array_sort(F.array_except("words", club)), " ")
-    ).withColumn("n", F.length("folded"))
-    left = base.select(*[F.col(c).alias(f"l_{c}") for c in ("team", "folded", "words", "core", "n")])
-    right = base.select(*[F.col(c).alias(f"r_{c}") for c in ("team", "folded", "words", "core", "n")])
-
+    base = names.withColumn("words", words).withColumn("core", F.array_join(F.array_sort(F.array_except("words", club)), " "))
+    left, right = (base.select(*[F.col(c).alias(f"{side}_{c}") for c in ("team", "folded", "words", "core")]) for side in "lr")
     l_in_r = (F.size(F.array_except("l_words", "r_words")) == 0) & (F.size("l_words") < F.size("r_words"))
     r_in_l = (F.size(F.array_except("r_words", "l_words")) == 0) & (F.size("r_words") < F.size("l_words"))
-    by_words = left.join(right, F.col("l_core") == F.col("r_core")).filter(
-        (F.col("l_team") < F.col("r_team")) & (l_in_r | r_in_l)
-    ).select("l_team", "r_team", "l_folded", "r_folded", F.lit(True).alias("by_words"))
-
-    tokens = base.select("team", "folded", "n", F.explode(_char_tokens(F.col("folded"))).alias("token"))
-    rarity = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
-    half = SIMILARITY / 2
-    # Smallest partner length and the overlap a pair of this name needs at least.
-    needed = F.ceil(half * F.col("n") * (1 + half / (1 - half)) - 1e-9)
-    rare_first = Window.partitionBy("team").orderBy("seen", "token")
-    prefix = (
-        tokens.join(rarity, "token").withColumn("_r", F.row_number().over(rare_first))
-        .filter(F.col("_r") <= F.col("n") - needed + 1)
-        .select("team", "folded", "n", "token")
-    )
-    pl = prefix.select(F.col("team").alias("l_team"), F.col("folded").alias("l_folded"), F.col("n").alias("l_n"), "token")
-    pr = prefix.select(F.col("team").alias("r_team"), F.col("folded").alias("r_folded"), F.col("n").alias("r_n"), "token")
-    shorter, both = F.least("l_n", "r_n"), F.col("l_n") + F.col("r_n")
-    by_text = pl.join(pr, "token").filter(
-        (F.col("l_team") < F.col("r_team")) & (shorter >= half * both - 1e-9)
-    ).select("l_team", "r_team", "l_folded", "r_folded", F.lit(False).alias("by_words"))
-
-    pairs = by_words.unionByName(by_text).groupBy("l_team", "r_team").agg(
-        F.first("l_folded").alias("l_folded"), F.first("r_folded").alias("r_folded"),
-        F.max("by_words").alias("by_words"),
-    )
-    scored = pairs.withColumn("ratio", _ratio("l_folded", "r_folded"))
-    method = F.when(F.col("by_words"), "tokens_with_club_qualifier").when(
-        F.col("ratio") >= SIMILARITY, "high_string_similarity"
-    )
+    met = left.join(right, F.col("l_core") == F.col("r_core")).filter((F.col("l_team") < F.col("r_team")) & (l_in_r | r_in_l))
+    return met.select("l_team", "r_team", "l_folded", "r_folded")
+
+
+def _scored(by_words: DataFrame, by_text: DataFrame) -> DataFrame:
+    pairs = by_words.withColumn("by_words", F.lit(True)).unionByName(by_text.withColumn("by_words", F.lit(False)))
+    pairs = pairs.groupBy("l_team", "r_team", "l_folded", "r_folded").agg(F.max("by_words").alias("by_words"))
+    # Edits bound the matching blocks from above, inside the JVM; only what passes is matched block by block.
+    edits = F.levenshtein("l_folded", "r_folded") <= _allowed(F.length("l_folded") + F.length("r_folded"))
+    scored = pairs.filter(F.col("by_words") | edits).withColumn("ratio", _ratio("l_folded", "r_folded"))
+    method = F.when(F.col("by_words"), "tokens_with_club_qualifier").when(F.col("ratio") >= SIMILARITY, "high_string_similarity")
     return scored.withColumn("method", method).filter(F.col("method").isNotNull()).select(
-        F.col("l_team").alias("left"), F.col("r_team").alias("right"),
-        F.round("ratio", 4).alias("similarity"), "method",
+        F.col("l_team").alias("left"), F.col("r_team").alias("right"), F.round("ratio", 4).alias("similarity"), "method",
     )
 
 
-def alias_candidates(team_seasons: DataFrame) -> DataFrame:
-    """Similar names that never share a season; ``team_seasons`` holds (team, season)."""
-    per_team = team_seasons.groupBy("team").agg(F.array_sort(F.collect_set("season")).alias("seasons"))
-    names = per_team.filter(~is_reserve_name(F.col("team"))).select(
-        "team", fold_words(F.col("team")).alias("folded")
-    )
-    seasons = per_team.select("team", "seasons")
-    return (
-        similar_name_pairs(names)
-        .join(seasons.select(F.col("team").alias("left"), F.col("seasons").alias("left_seasons")), "left")
-        .join(seasons.select(F.col("team").alias("right"), F.col("seasons").alias("right_seasons")), "right")
-        .withColumn("overlaps", F.arrays_overlap("left_seasons", "right_seasons"))
-    )
+def similar_name_pairs(names: DataFrame) -> DataFrame:
+    """All pairs of folded names that are similar, without comparing every pair.
+
+    ``names`` holds ``team`` and ``folded``, distinct teams without nulls. Names that differ only by club words share their other
+    words; names with a high matching ratio share a signature of segments. Both are joins by equality, and lossless.
+    """
+    return _scored(club_word_pairs(names), name_candidates(names))
+
+
+def alias_candidates(team_seasons: DataFrame, keep_overlapping: bool = True) -> DataFrame:
+    """Similar names with the seasons of both; ``team_seasons`` holds (team, season).
+
+    Names that share a season belong to two teams. They are only marked as ``overlaps`` if ``keep_overlapping``, else they leave
+    before any similarity is worked out.
+    """
+    per_team = team_seasons.filter(F.col("team").isNotNull()).groupBy("team").agg(F.array_sort(F.collect_set("season")).alias("seasons"))
+    names = per_team.filter(~is_reserve_name(F.col("team"))).select("team", fold_words(F.col("team")).alias("folded"))
+    left = per_team.select(F.col("team").alias("l_team"), F.col("seasons").alias("left_seasons"))
+    right = per_team.select(F.col("team").alias("r_team"), F.col("seasons").alias("right_seasons"))
+    overlap = F.arrays_overlap("left_seasons", "right_seasons")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        return pairs if keep_overlapping else pairs.join(left, "l_team").join(right, "r_team").filter(~overlap).select(*pairs.columns)
+
+    scored = _scored(apart(club_word_pairs(names)), apart(name_candidates(names)))
+    met = scored.join(left.withColumnRenamed("l_team", "left"), "left").join(right.withColumnRenamed("r_team", "right"), "right")
+    return met.withColumn("overlaps", overlap)
 
 
 def reserve_pairs(team_seasons: DataFrame) -> DataFrame:
