@@ -116,6 +116,49 @@ def test_pools_stream_over_many_frames(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def _countries(seed):
+    """Three countries with two leagues each whose teams change league with the season; and a cup that joins two of them once."""
+    rng, rows = random.Random(seed), []
+    for i in range(400):
+        c, day = rng.randrange(3), date(2019, 7, 1) + timedelta(days=rng.randrange(1500))
+        year = day.year - (day.month < 7)
+        h, a = rng.sample([f"{c}{t}" for t in range(8) if (t + year) % 2 == i % 2 or t > 5], 2)
+        rows.append(match(i, day, h, a, rng.randrange(4), rng.randrange(4), division=f"L{c}{i % 2}", season="s"))
+    for r in rows:
+        r["match_id"] += 1 << 60  # beyond what a float holds
+    rows += [match(900, date(2021, 1, 5), "01", "11", 2, 0, division="Cup", season="s"), match(901, date(2021, 1, 9), "01", "12", None, None, division="Cup", season="s")]
+    return rows
+
+
+@pytest.mark.parametrize("slice_rows", [10**6, 5])
+def test_groups_and_seasons_equal_one_sequence(spark, slice_rows):
+    rows = _countries(7)
+    got = {r["match_id"]: r for r in elo.elo_ratings(table(spark, rows), slice_rows=slice_rows).collect()}
+    ratings, order = {}, lambda r: (r["date"], r["division"], r["home"], r["away"], r["match_id"])
+    for day in sorted({r["date"] for r in rows}):
+        today = sorted((r for r in rows if r["date"] == day), key=order)
+        for r in today:
+            assert got[r["match_id"]]["home_elo"] == pytest.approx(ratings.get(r["home"], 1500.0), abs=1e-9)
+            assert got[r["match_id"]]["away_elo"] == pytest.approx(ratings.get(r["away"], 1500.0), abs=1e-9)
+        for r in today:
+            h, a = ratings.get(r["home"], 1500.0), ratings.get(r["away"], 1500.0)
+            d = 0 if r["result"] is None else 24 * ({"1": 1.0, "X": 0.5, "2": 0.0}[r["result"]] - 1 / (1 + 10 ** ((a - h - 55) / 400)))
+            ratings[r["home"]], ratings[r["away"]] = h + d, a - d
+            assert got[r["match_id"]]["home_elo_after"] == pytest.approx(h + d, abs=1e-9)
+    assert len(got) == len(rows)
+
+
+def test_leagues_that_share_teams_are_one_group(spark):
+    rows = elo._prepare(table(spark, _countries(7)), None)
+    whole = {r["division"]: r["group"] for r in elo.league_groups(rows, False).collect()}
+    assert whole["L00"] == whole["L01"] == whole["L10"] == whole["L11"] == whole["Cup"] == "Cup" and whole["L20"] == whole["L21"] == "L20"
+    sliced = {(r["slice"], r["division"]): r["group"] for r in elo.league_groups(rows, True).collect()}
+    assert sliced[2020, "L00"] == sliced[2020, "L10"] and sliced[2021, "L00"] != sliced[2021, "L10"]
+    apart = table(spark, [match(1, date(2020, 1, 1), "A", "B", 1, 0, division="x"), match(2, date(2020, 1, 1), "C", "D", 1, 0, division="y")])
+    assert elo.league_groups(elo._prepare(apart, None), False) is None
+    assert elo.elo_ratings(table(spark, [])).count() == 0
+
+
 def test_repeated_rows_do_not_multiply(spark):
     rows = random_league(6, n=30)
     out = features.prematch_features(table(spark, rows + [rows[7], rows[7], rows[20]]))

@@ -176,6 +176,30 @@ def elo_ratings(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("match_id", *[r6(c) for c in ("home_elo", "away_elo", "home_elo_after", "away_elo_after")])
 
 
+# One list of twenty ratings a country, replayed match by match.
+@query("W6 W9", f"""with c as ({views.COUNTRIES_SQL}), o as (
+  select match_id, country, match_date, cast(right(home_team, 2) as int) + 1 as hi, cast(right(away_team, 2) as int) + 1 as ai,
+    case result when '1' then 1.0 when 'X' then 0.5 else 0.0 end as s,
+    row_number() over (partition by country order by match_date, league, home_team, away_team, match_id) as i from c),
+z as (with recursive e(country, i, r) as (
+    select country, cast(0 as bigint), list_transform(range(20), lambda x: cast(1500 as double)) from (select distinct country from o)
+    union all
+    select x.country, x.i, list_transform(e.r, lambda v, j: case
+        when j = x.hi then v + 24 * (x.s - 1 / (1 + pow(10, (e.r[x.ai] - e.r[x.hi] - 55) / 400)))
+        when j = x.ai then v - 24 * (x.s - 1 / (1 + pow(10, (e.r[x.ai] - e.r[x.hi] - 55) / 400))) else v end)
+    from e join o x on x.country = e.country and x.i = e.i + 1)
+  select * from e),
+b as (select country, match_date, min(i) - 1 as i0 from o group by country, match_date)
+select o.match_id, round(z0.r[o.hi], 6) as home_elo, round(z0.r[o.ai], 6) as away_elo, round(z1.r[o.hi], 6) as home_elo_after,
+  round(z1.r[o.ai], 6) as away_elo_after
+from o join b on b.country = o.country and b.match_date = o.match_date
+join z z0 on z0.country = o.country and z0.i = b.i0 join z z1 on z1.country = o.country and z1.i = o.i""")
+def elo_by_country(spark: SparkSession, sf: str) -> DataFrame:
+    # No pool is named: the groups of leagues are found from the fixtures.
+    out = elo_ops.elo_ratings(views.country_matches(spark, sf))
+    return out.select("match_id", *[r6(c) for c in ("home_elo", "away_elo", "home_elo_after", "away_elo_after")])
+
+
 @query("W8 P46 P22 J14")
 def prematch_feature_table(spark: SparkSession, sf: str) -> DataFrame:
     return ft.prematch_features(views.matches(spark, sf), pool="division")

@@ -48,6 +48,15 @@ from (
     from lineitem group by l_orderkey) li on li.l_orderkey = o.o_orderkey) base
 """
 
+# Countries of a hundred customers each: their number grows with the tables, their leagues share teams, others do not.
+COUNTRIES_SQL = """
+select m.*, concat('C', cast((cust - cust % 100) / 100 as int)) as country,
+  concat('C', cast((cust - cust % 100) / 100 as int), ' ', substr(division, 1, 1)) as league,
+  concat('C', cast((cust - cust % 100) / 100 as int), ' ', substr(home, 2)) as home_team,
+  concat('C', cast((cust - cust % 100) / 100 as int), ' ', substr(away, 2)) as away_team
+from ({matches}) m
+""".replace("{matches}", MATCHES_SQL)
+
 # Source probabilities of a match: integer weights with many ties, normalised.
 SOURCES_SQL = """
 select m.*,
@@ -142,6 +151,12 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def country_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of many countries with two leagues each."""
+    df = _match_names(_spark_sql(spark, sf_dir, COUNTRIES_SQL)).drop("division", "home", "away")
+    return df.withColumnsRenamed({"league": "division", "home_team": "home", "away_team": "away"})
+
+
 def matches_with_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches with four sources of outcome probabilities."""
     return _match_names(_spark_sql(spark, sf_dir, SOURCES_SQL))
