@@ -150,12 +150,12 @@ def test_groups_and_seasons_equal_one_sequence(spark, slice_rows):
 
 def test_leagues_that_share_teams_are_one_group(spark):
     rows = elo._prepare(table(spark, _countries(7)), None)
-    whole = {r["division"]: r["group"] for r in elo.league_groups(rows, False).collect()}
+    whole = {r["division"]: r["group"] for r in elo.league_groups(rows, False)[0].collect()}
     assert whole["L00"] == whole["L01"] == whole["L10"] == whole["L11"] == whole["Cup"] == "Cup" and whole["L20"] == whole["L21"] == "L20"
-    sliced = {(r["slice"], r["division"]): r["group"] for r in elo.league_groups(rows, True).collect()}
+    sliced = {(r["slice"], r["division"]): r["group"] for r in elo.league_groups(rows, True)[0].collect()}
     assert sliced[2020, "L00"] == sliced[2020, "L10"] and sliced[2021, "L00"] != sliced[2021, "L10"]
     apart = table(spark, [match(1, date(2020, 1, 1), "A", "B", 1, 0, division="x"), match(2, date(2020, 1, 1), "C", "D", 1, 0, division="y")])
-    assert elo.league_groups(elo._prepare(apart, None), False) is None
+    assert elo.league_groups(elo._prepare(apart, None), False) == (None, 1)
     assert elo.elo_ratings(table(spark, [])).count() == 0
 
 
@@ -204,6 +204,51 @@ def test_upcoming_matches_ignore_later_rows_and_each_other(spark):
         assert a[901][c] == pytest.approx(same[c])
 
 
+def test_all_matchdays_at_once_equal_one_call_each(spark):
+    past = random_league(8, n=90, teams=5)
+    history = table(spark, past)
+    cutoffs = ["2023-08-01", "2023-08-20", "2023-09-10", "2023-10-30"]
+    rows = [
+        (100 * j + k, k, j, home, away, date.fromisoformat(c), None if k == 3 else date.fromisoformat(c) + timedelta(days=k))
+        for j, c in enumerate(cutoffs) for k, (home, away) in enumerate([("T0", "T1"), ("T2", "Nuevo"), ("Alta", "T0"), ("T3", "T4")])
+    ]
+    # A second matchday with the same cutoff whose newcomers the first one must not see.
+    rows += [(900, 0, 9, "Otro", "T1", date(2023, 8, 20), None)]
+    up = spark.createDataFrame(rows, "match_id long, num int, jornada int, home string, away string, cutoff date, date date")
+    got = by_id(features.matchday_features(up, history, ["jornada"], keep=["jornada"]))
+    assert len(got) == len(rows)
+    for j, c in [*enumerate(cutoffs), (9, "2023-08-20")]:
+        alone = by_id(features.upcoming_features(up.filter(F.col("jornada") == j).drop("cutoff"), history, c, keep=["jornada"]))
+        assert {i: r for i, r in got.items() if r["jornada"] == j} == alone
+
+
+def test_feature_table_reads_its_source_once(spark):
+    source = table(spark, random_league(2, n=40)).withColumn("match_id", F.col("match_id") + F.rand(3).cast("int"))
+    plan = features.prematch_features(source)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "LocalTableScan" not in plan and "ExistingRDD" not in plan  # only written tables are left
+    assert plan.count("Exchange hashpartitioning") <= 24
+
+
+def test_states_before_days_that_are_asked_for(spark):
+    rows = random_league(9, n=70, teams=4, days=40)
+    asks = [(f"T{t}", "Primera", "2023-2024", date(2023, 8, 1) + timedelta(days=7 * w)) for t in range(5) for w in range(8)] + [("T0", None, None, date(2023, 9, 1)), ("T1", "Segunda", "2023-2024", date(2023, 9, 1))]
+    from touchline.operators import state
+
+    frame = spark.createDataFrame([*asks, asks[0]], "team string, division string, season string, date date")
+    got = state.states(table(spark, rows), frame).collect()
+    assert len(got) == len(asks)
+    order = lambda r: (r["date"], r["division"], r["home"], r["away"], r["match_id"])
+    for g in got:
+        own = [r for r in sorted(rows, key=order) if g["team"] in (r["home"], r["away"]) and r["date"] < g["date"]]
+        pts = [3 if r["result"] == ("1" if r["home"] == g["team"] else "2") else 1 if r["result"] == "X" else 0 for r in own]
+        assert g["team_pts"] == (pytest.approx(sum(pts[-5:]) / len(pts[-5:])) if pts else None)
+        home = [p for p, r in zip(pts, own) if r["home"] == g["team"]][-5:]
+        assert g["home_side_pts"] == (pytest.approx(sum(home) / len(home)) if home else None)
+        assert g["last_date"] == (own[-1]["date"] if own else None)
+        same = g["division"] == "Primera"
+        assert (g["pj"], g["pts"]) == ((len(pts), sum(pts)) if same else (0, 0))
+
+
 def test_published_columns(spark):
     assert len(FEATURE_TABLE_COLUMNS) == 88 and len(set(FEATURE_TABLE_COLUMNS)) == 88
     assert len(MODEL_COLUMNS) == 73 and set(MODEL_COLUMNS) < set(FEATURE_TABLE_COLUMNS)

@@ -200,11 +200,6 @@ def elo_by_country(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("match_id", *[r6(c) for c in ("home_elo", "away_elo", "home_elo_after", "away_elo_after")])
 
 
-@query("W8 P46 P22 J14")
-def prematch_feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    return ft.prematch_features(views.matches(spark, sf), pool="division")
-
-
 CUTOFF = "1999-07-01"
 
 
@@ -224,17 +219,6 @@ def team_state_at_cutoff(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("team", *[r6(f"team_{s}") for s in _STATS], "last_date", r6("home_side_pts"), r6("away_side_pts"), "last_division")
 
 
-@query("J15 P36 P35 W10 W16 W5")
-def upcoming_feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    history = views.matches(spark, sf)
-    # All later matches are "to come": results and season are withheld.
-    upcoming = history.filter(F.col("date") >= F.lit(CUTOFF).cast("date")).select(
-        "match_id", F.col("match_id").alias("num"), "home", "away", "date", F.lit("").alias("division"),
-        F.lit("").alias("season"), "odd_1", "odd_x", "odd_2", "open_odd_1", "open_odd_x", "open_odd_2",
-    )
-    return ft.upcoming_features(upcoming, history, CUTOFF, pool="division")
-
-
 @query("W13 T1", M + """, o as (select match_id, row_number() over (order by match_date, division, home, away, match_id) - 1 as pos, count(*) over () as n from m)
 select match_id, cast(pos as bigint) as pos, pos < floor(n * 0.8) as train_80, pos < floor(n * 0.84) as train_84 from o""")
 def temporal_splits(spark: SparkSession, sf: str) -> DataFrame:
