@@ -193,12 +193,68 @@ def invalid_date_examples(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("_source_file").alias("source_file"), F.col("_line").alias("line"), F.col("Date").alias("value"))
 
 
-@query("A12-A16 J16 findings")
+_SOURCE = ("Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR", "HS", "AS", "HST", "AST", "HC", "B365H", "B365D", "B365A", "B365CH", "B365CD", "B365CA")
+_CELLS = ", ".join(f"""coalesce(trim("{c}"), '')""" for c in _SOURCE)
+_FILLED = " + ".join(f"""cast(trim("{c}") <> '' as int)""" for c in ("HS", "AS", "HST", "AST"))
+
+
+def _findings_sql(facts_sql: str, rules: list[tuple[str, str, str, str, str]]) -> str:
+    """Rows of the rules whose count is positive; every count and detail is an expression over the one-row table ``one``."""
+    rows = " union all ".join(
+        f"select '{code}' as code, '{severity}' as severity, '{findings.SEVERITIES[severity]}' as severity_rationale, '{message}' as message, "
+        f"cast({count} as bigint) as count, {details} as details from one"
+        for code, severity, message, count, details in rules
+    )
+    return f"{facts_sql} select * from ({rows}) z where count > 0"
+
+
+_PAIR = "concat('{{\"groups\":', {p}_groups, ',\"excess_rows\":', {p}_excess, '}}')"
+# Team names of the derived rows are three characters long, so no two are similar: ALIAS_CANDIDATE is never emitted here.
+HISTORY_FINDINGS = _findings_sql(FACTS + f""",
+fc as (
+  select _source_file, _division, old, count(*) as raw, sum(case when discard is null then 1 else 0 end) as usable, {_COUNT_SQL.replace("as raw", "as raw_rows").replace("as usable", "as usable_rows")},
+    sum(case when not is_empty and not old then 4 - ({_FILLED}) else 0 end) as cells
+  from x group by _source_file, _division, old
+),
+tot as (
+  select {", ".join(f"sum({k}) as {k}" for k in _COUNT if k not in ("raw", "usable"))}, sum(cells) as cells, count(*) filter (old) as old_files,
+    sum(case when (case _division when 'Primera' then 380 else 462 end) <> usable then 1 else 0 end) as incomplete,
+    string_agg('"' || _source_file || '"', ',' order by _source_file) filter (old) as old_names from fc
+),
+ex as (select count(*) as n from x group by _source_file, {_CELLS} having count(*) > 1),
+ky as (select count(*) as n from x where not is_empty and d is not null and ht <> '' and at_ <> '' group by d, ht, at_ having count(*) > 1),
+re as (select string_agg('"' || discard || '":' || n, ',' order by discard) as reasons from (select discard, count(*) as n from x where discard is not null group by discard) z),
+one as (
+  select *, equal_open_close - equal_with_real_close as equal_fallback from tot, re,
+    (select count(*) as ex_groups, coalesce(sum(n), 0) as ex_rows, coalesce(sum(n - 1), 0) as ex_excess from ex),
+    (select count(*) as ky_groups, coalesce(sum(n), 0) as ky_rows, coalesce(sum(n - 1), 0) as ky_excess from ky)
+)""", [
+    ("EMPTY_ROWS", "info", "Completely blank rows.", "empty", "null"),
+    ("ROWS_DISCARDED", "warning", "Rows that miss a required field.", "discarded", "concat('{\"primary_reasons\":{', reasons, '}}')"),
+    ("EXACT_DUPLICATE", "info", "Rows repeated within a file.", "ex_rows", _PAIR.format(p="ex")),
+    ("MATCH_KEY_DUPLICATE", "warning", "Matches repeated by date and teams.", "ky_rows", _PAIR.format(p="ky")),
+    ("RESULT_GOALS_MISMATCH", "warning", "Result contradicts the goals.", "result_mismatches", "null"),
+    ("DATE_INVALID", "warning", "Dates that cannot be read.", "invalid_dates", "null"),
+    ("SHOTS_COLUMNS_MISSING", "critical", "Files without shot columns.", "case when old_files > 0 then greatest(shot_rows_without_schema, 1) end",
+     "concat('{\"affected_files\":[', old_names, '],\"file_count\":', old_files, '}')"),
+    ("SHOTS_VALUES_MISSING", "warning", "Shot columns with missing values.", "non_empty - shot_rows_without_schema - shot_rows_with_all_values", "concat('{\"missing_cells\":', cells, '}')"),
+    ("ODDS_OPEN_MISSING", "warning", "Rows without three opening odds.", "non_empty - opening_available", "null"),
+    ("ODDS_NO_REAL_CLOSE", "critical", "Rows without three real closing odds.", "without_real_close", "concat('{\"equal_to_opening_via_fallback\":', equal_fallback, '}')"),
+    ("ODDS_OPEN_EQUALS_CLOSE_NO_REAL_CLOSE", "info", "Opening equals close because there is no real close.", "equal_fallback", "'{\"parent_code\":\"ODDS_NO_REAL_CLOSE\"}'"),
+    ("ODDS_OPEN_EQUALS_CLOSE_REAL", "info", "Opening equals a close that is really available.", "equal_with_real_close", "null"),
+    ("ODDS_OVERROUND_OUT_OF_RANGE", "warning", "Overround outside the configured range.", "overround_low + overround_high",
+     "concat('{\"below\":', overround_low, ',\"above\":', overround_high, ',\"range\":{\"minimum\":1.0,\"maximum\":1.4}}')"),
+    ("SEASON_INCOMPLETE", "warning", "Seasons that miss usable matches.", "incomplete", "null"),
+    ("ADMINISTRATIVE_MATCH_CANDIDATE", "warning", "Full results without statistics and odds.", "administrative", "null"),
+])
+
+
+@query("A12 A13 A14 A15 A16 A10 J16 findings", HISTORY_FINDINGS)
 def history_findings(spark: SparkSession, sf: str) -> DataFrame:
     return audit.history_findings(facts(spark, sf))
 
 
-@query("findings assembly")
+@query("findings assembly", f"select severity, count(*) as findings from ({HISTORY_FINDINGS}) y group by severity")
 def severity_summary(spark: SparkSession, sf: str) -> DataFrame:
     return findings.severity_summary(audit.history_findings(facts(spark, sf)))
 
@@ -357,7 +413,31 @@ def feed_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return feed_audit.feed_duplicates(feed_audit.feed_facts(feed(spark, sf)))
 
 
-@query("A17 findings")
+_THREE = "concat('{{\"groups\":', {p}_groups, ',\"rows_involved\":', {p}_rows, ',\"excess_rows\":', {p}_excess, '}}')"
+
+
+@query("A17 A10 findings", _findings_sql(FEED + """,
+md as (select count(*) as n from fd group by match_id having count(*) > 1),
+lg as (select count(*) as n from fd group by date, home_name, away_name having count(*) > 1),
+cv as (select league_name, league_season, sum(case when fin and not po then 1 else 0 end) as done from ff group by 1, 2),
+one as (
+  select * from (select sum(case when not fin then 1 else 0 end) as open, sum(case when nog then 1 else 0 end) as nog, sum(case when po then 1 else 0 end) as po,
+      sum(case when wrong then 1 else 0 end) as wrong from ff),
+    (select count(*) filter (done <> case league_name when 'La Liga' then 380 else 462 end) as incomplete from cv),
+    (select count(*) as md_groups, coalesce(sum(n), 0) as md_rows, coalesce(sum(n - 1), 0) as md_excess from md),
+    (select count(*) as lg_groups, coalesce(sum(n), 0) as lg_rows, coalesce(sum(n - 1), 0) as lg_excess from lg),
+    (select count(*) as ed_groups, coalesce(sum(n), 0) as ed_rows, coalesce(sum(n - 1), 0) as ed_excess from (select count(*) as n from fd
+      group by match_id, date, league_name, league_season, round, status, home_name, away_name, home_goals, away_goals, sign having count(*) > 1))
+)""", [
+    ("HIGHLIGHTLY_NON_FINISHED", "info", "Matches that are not final.", "open", "null"),
+    ("HIGHLIGHTLY_GOALS_MISSING", "info", "Rows without both goals.", "nog", "null"),
+    ("HIGHLIGHTLY_PLAYOFF", "info", "Play-off rows kept apart from the league.", "po", "null"),
+    ("HIGHLIGHTLY_EXACT_DUPLICATE", "warning", "Repeated rows.", "ed_rows", _THREE.format(p="ed")),
+    ("HIGHLIGHTLY_MATCH_ID_DUPLICATE", "warning", "Repeated match ids.", "md_rows", _THREE.format(p="md")),
+    ("HIGHLIGHTLY_LOGICAL_DUPLICATE", "warning", "Matches repeated by date and teams.", "lg_excess", _THREE.format(p="lg")),
+    ("HIGHLIGHTLY_SEASON_INCOMPLETE", "warning", "League seasons that miss finished regular matches.", "incomplete", "null"),
+    ("HIGHLIGHTLY_SIGN_MISMATCH", "warning", "Sign contradicts the goals.", "wrong", "null"),
+]))
 def feed_findings(spark: SparkSession, sf: str) -> DataFrame:
     return feed_audit.feed_findings(feed_audit.feed_facts(feed(spark, sf).drop("row_id")))
 

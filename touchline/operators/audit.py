@@ -11,8 +11,9 @@ from touchline import settings
 from touchline.functions import odds
 from touchline.functions.text import all_blank, clean, is_blank, parse_date, parse_number
 from touchline.operators import cleaning
-from touchline.operators.findings import collect_findings, finding
+from touchline.operators.findings import collect_findings, finding, side_by_side
 from touchline.operators.names import alias_candidates
+from touchline.session import stage
 
 FILE = ("_source_file", "_division", "_season")
 
@@ -203,10 +204,16 @@ def match_keys(facts: DataFrame) -> DataFrame:
     )
 
 
-def exact_duplicates(facts: DataFrame) -> DataFrame:
-    """Duplicates of whole rows within a file, compared by a digest of the trimmed cells."""
+def row_digest(facts: DataFrame) -> Column:
+    """Digest of the trimmed cells that come from the file."""
     cells = [F.coalesce(F.trim(c), F.lit("")) for c in cleaning.source_columns(facts)]
-    hashed = facts.select(*FILE[:1], F.sha2(F.concat_ws("\u0001", *cells), 256).alias("digest"))
+    return F.sha2(F.concat_ws("\u0001", *cells), 256)
+
+
+def exact_duplicates(facts: DataFrame) -> DataFrame:
+    """Duplicates of whole rows within a file, compared by a digest; ``_digest`` if the facts have it."""
+    digest = F.col("_digest") if "_digest" in facts.columns else row_digest(facts)
+    hashed = facts.select(*FILE[:1], digest.alias("digest"))
     return duplicate_metrics(hashed, ["digest"], FILE[:1]).agg(
         F.coalesce(F.sum("groups"), F.lit(0)).alias("groups"),
         F.coalesce(F.sum("rows_involved"), F.lit(0)).alias("rows_involved"),
@@ -239,8 +246,16 @@ def team_seasons(facts: DataFrame) -> DataFrame:
 def history_findings(
     facts: DataFrame, low: float = settings.OVERROUND_MIN, high: float = settings.OVERROUND_MAX
 ) -> DataFrame:
-    """Findings of all history files. Every input of a rule is a one-row aggregate."""
-    counters = file_counters(facts)
+    """Findings of all history files. Every input of a rule is a one-row aggregate.
+
+    The facts are worked out once and written narrow, so each aggregate reads just its columns of that table.
+    """
+    facts = stage(facts.withColumn("_digest", row_digest(facts)).select(
+        *FILE, "_digest", "_date", "_home", "_away", "_empty", "_usable", "_complete", "_admin", "_reasons", "_mismatch", "_comparable", "_shot_schema",
+        "_shots", "_equal", "_overround", "_below", "_above",
+        *[F.when(F.col(f"_{o}").isNotNull(), True).alias(f"_{o}") for o in ("opening", "close", "real")],
+    ))
+    counters = stage(file_counters(facts))  # one row a file
     exact = exact_duplicates(facts).select(
         F.col("groups").alias("exact_groups"), F.col("rows_involved").alias("exact_rows"),
         F.col("excess_rows").alias("exact_excess"),
@@ -259,13 +274,10 @@ def history_findings(
         F.count(F.lit(1)).alias("files_without_shots"),
         F.array_sort(F.collect_set("_source_file")).alias("affected_files"),
     )
-    aliases = alias_candidates(team_seasons(facts), keep_overlapping=False).agg(
+    aliases = alias_candidates(stage(team_seasons(facts)), keep_overlapping=False).agg(
         F.count(F.lit(1)).alias("alias_pairs")
     )
-    single = totals(counters)
-    for part in (exact, keys, reasons, incomplete, schemaless, aliases):
-        # Both sides hold exactly one row of aggregates.
-        single = single.withColumn("_one", F.lit(1)).join(part.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    single = side_by_side([totals(counters), exact, keys, reasons, incomplete, schemaless, aliases])
     c = F.col
     missing_open = c("non_empty") - c("opening_available")
     missing_shots = c("non_empty") - c("shot_rows_without_schema") - c("shot_rows_with_all_values")

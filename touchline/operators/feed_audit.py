@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from touchline.functions.odds import normalise_result, result_from_goals
 from touchline.functions.text import clean, fold_words, parse_date, parse_number
 from touchline.operators.audit import duplicate_metrics
-from touchline.operators.findings import collect_findings, finding
+from touchline.operators.findings import collect_findings, finding, side_by_side
+from touchline.session import stage
 
 # League names of the feed and their regular matches.
 EXPECTED_BY_LEAGUE = {"La Liga": 380, "Segunda Division": 462}
@@ -130,15 +131,14 @@ def encoding_findings(encoding: DataFrame) -> DataFrame:
 
 
 def feed_findings(facts: DataFrame) -> DataFrame:
-    """Content findings of the feed."""
-    single = feed_summary(facts)
-    kinds = feed_duplicates(facts)
-    wide = kinds.groupBy().pivot("kind", ["exact", "match_id", "logical"]).agg(
-        F.first("groups").alias("groups"), F.first("rows_involved").alias("rows"), F.first("excess_rows").alias("excess")
-    )
+    """Content findings of the feed, from facts that are worked out once and written."""
+    facts = stage(facts)
+    named = {"groups": "groups", "rows_involved": "rows", "excess_rows": "excess"}
+    wide = feed_duplicates(facts).agg(*[
+        F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{name}") for kind in ("exact", "match_id", "logical") for c, name in named.items()
+    ])
     coverage = league_coverage(facts).filter("regular_finished_gap <> 0").agg(F.count(F.lit(1)).alias("incomplete"))
-    for part in (wide, coverage):
-        single = single.withColumn("_one", F.lit(1)).join(part.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    single = side_by_side([feed_summary(facts), wide, coverage])
     c = F.col
 
     def duplicate_details(kind: str) -> list[Column]:

@@ -37,6 +37,12 @@ def collect_findings(facts: DataFrame, rules: Sequence[Column]) -> DataFrame:
     return facts.select(F.inline_outer(F.array(*rules))).filter(F.col("code").isNotNull())
 
 
+def side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
+    """One-row aggregates as one row: a union and one aggregate over as many rows, no joins."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.agg(*[F.first(c, ignorenulls=True).alias(c) for c in every.columns])
+
+
 def union_findings(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
