@@ -185,6 +185,30 @@ def test_overlapping_names_leave_before_scoring(spark):
     assert not apart.filter("overlaps").count()
 
 
+@pytest.mark.parametrize("limits", [(1024, 10_000), (4, 3)])
+def test_exact_median_by_ranges(spark, monkeypatch, limits):
+    import statistics
+
+    from touchline.operators import ranks
+
+    monkeypatch.setattr(ranks, "BINS", limits[0])
+    monkeypatch.setattr(ranks, "SORTED_VALUES", limits[1])
+    rng = random.Random(3)
+    groups = {
+        "even": [rng.random() for _ in range(400)], "odd": [rng.gauss(0, 1e6) for _ in range(301)], "ties": [1.0] * 500 + [rng.random() for _ in range(99)],
+        "one": [-2.5], "two": [1.0, 4.0], "skewed": [1e-300 * 10**k for k in range(0, 300, 3)] + [-0.0, 0.0], "close": [1 + k * 2**-52 for k in range(50)], None: [3.0, 1.0, 2.0],
+    }
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("even", None), ("empty", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "division string, x double")
+    got = {r["division"]: r["median"] for r in ranks.exact_median(df, "x", ["division"]).collect()}
+    assert got == {g: statistics.median(vs) for g, vs in groups.items()}
+    assert [r["median"] for r in ranks.exact_median(df, "x").collect()] == [statistics.median(v for _, v in rows if v is not None)]
+    assert ranks.exact_median(df.filter("false"), "x", ["division"]).count() == 0
+    table = audit.observed_distribution(df, "x", ["division"])
+    assert table.columns == ["division", "minimum", "median", "maximum"] and table.count() == len(groups)
+
+
 def test_xg_window(spark):
     m = spark.createDataFrame([(1, "2024-01-01", "A", "B"), (2, "2024-02-01", "A", "B"), (3, "2024-03-01", "A", "B")], "match_id long, date string, home string, away string")
     m = m.withColumn("date", F.to_date("date"))

@@ -13,6 +13,7 @@ from touchline.functions.text import all_blank, clean, is_blank, parse_date, par
 from touchline.operators import cleaning
 from touchline.operators.findings import collect_findings, finding, side_by_side
 from touchline.operators.names import alias_candidates
+from touchline.operators.ranks import exact_median
 from touchline.session import stage
 
 FILE = ("_source_file", "_division", "_season")
@@ -39,16 +40,15 @@ def duplicate_examples(df: DataFrame, keys: Sequence[str], n: int | None = None)
 
 
 def observed_distribution(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """Minimum, median and maximum with six digits.
-
-    The exact median of a group keeps its value histogram in one buffer; ``exact=False`` takes the
-    bounded sketch instead.
-    """
-    middle = F.percentile(value, 0.5) if exact else F.percentile_approx(value, 0.5, 10000)
-    return df.filter(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.round(F.min(value), 6).alias("minimum"), F.round(middle, 6).alias("median"),
-        F.round(F.max(value), 6).alias("maximum"),
-    )
+    """Minimum, median and maximum with six digits; ``exact=False`` takes the bounded sketch for the median instead."""
+    known = df.filter(F.col(value).isNotNull())
+    ends = [F.round(F.min(value), 6).alias("minimum"), F.round(F.max(value), 6).alias("maximum")]
+    if not exact:
+        middle = F.round(F.percentile_approx(value, 0.5, 10000), 6).alias("median")
+        return known.groupBy(*by).agg(ends[0], middle, ends[1])
+    middle = exact_median(known, value, by).withColumnsRenamed({b: f"_{b}" for b in by})
+    same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] or F.lit(True)  # without groups both sides are one row
+    return known.groupBy(*by).agg(*ends).join(middle, same, "left").select(*by, "minimum", F.round("median", 6).alias("median"), "maximum")
 
 
 def first_examples(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
