@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -272,3 +273,41 @@ def test_field_learns_its_table():
 
 def test_schema_of_cases():
     assert len(SCHEMA.split(",")) == 5
+
+
+def _part_rows(rng, n, lines=40):
+    kinds = list(secret_scan.ROLE)
+    starts = sorted(rng.sample(range(10 * n), n))
+    out, scope = [], 0
+    for i, start in enumerate(starts):
+        scope += rng.random() < 0.1
+        kind = rng.choice(kinds)
+        out.append((kind, start, start + 5, secret_scan.ROLE[kind], kind in secret_scan.WEAK_KINDS, scope, i * lines // n + scope))
+    return out
+
+
+def test_links_of_parts_equal_all_pairs(spark):
+    rng = random.Random(11)
+    data = [(i, i, _part_rows(rng, rng.randint(0, 40))) for i in range(60)]
+    got = {r["row"]: {(s["kind"], s["start"]) for s in r["linked"]} for r in secret_scan.linked(spark.createDataFrame(data, f"row long, {secret_scan.PARTS}")).collect()}
+    for row, _, parts in data:
+        want = {
+            (k, s) for k, s, _, role, weak, scope, line in parts
+            if weak and any((r == "secret") != (role == "secret") and sc == scope and abs(ln - line) <= secret_scan.LINES for _, _, _, r, _, sc, ln in parts)
+        }
+        assert got.get(row, set()) == want
+
+
+def test_links_grow_with_the_parts_of_a_scope(spark):
+    import time
+
+    def seconds(n):
+        frame = spark.createDataFrame([(0, 0, [(("identifier", "opaque")[i % 2], 10 * i, 10 * i + 5, ("id", "secret")[i % 2], True, 0, 9 * i) for i in range(n)])], f"row long, {secret_scan.PARTS}")
+        best = []
+        for _ in range(2):
+            start = time.perf_counter()
+            assert secret_scan.linked(frame).count() == 0
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    assert seconds(40_000) < 3 * seconds(10_000) + 3

@@ -120,13 +120,14 @@ def linked(found: DataFrame, lines: int = LINES) -> DataFrame:
     secret = F.exists("parts", lambda p: p["role"] == "secret")
     other = F.exists("parts", lambda p: p["role"] != "secret")
     flat = found.filter(weak & secret & other).select("row", F.inline("parts"))
-    scope = Window.partitionBy("row", "scope").orderBy("start", "kind")
-    before, after = scope.rowsBetween(Window.unboundedPreceding, -1), scope.rowsBetween(1, Window.unboundedFollowing)
+    # Both directions run forward and remember the last part of a role: work grows with the parts of a scope, not their square.
+    before = Window.partitionBy("row", "scope").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row", "scope").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
 
     def gap(is_role: Column) -> Column:
         at = F.when(is_role, F.col("line"))
         back = F.col("line") - F.last(at, ignorenulls=True).over(before)
-        ahead = F.first(at, ignorenulls=True).over(after) - F.col("line")
+        ahead = F.last(at, ignorenulls=True).over(after) - F.col("line")
         return F.least(back, ahead)
 
     near = flat.withColumn("to_secret", gap(F.col("role") == "secret")).withColumn("to_other", gap(F.col("role") != "secret"))
