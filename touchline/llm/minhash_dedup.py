@@ -199,11 +199,12 @@ def near_duplicates(documents: DataFrame, percent: int = 85, shingle: int = 3, r
     have an empty set and link with nothing. Rows that share a doc_id each get a row; a null doc_id takes part, but names a
     component only if no other member does. A pair at the threshold is missed with a probability below ``1 - recall``.
     """
-    return row_components(keyed(documents), percent, shingle, recall).drop(ROW)
+    return row_components(keyed(documents), percent, shingle, recall).drop(ROW, "first")
 
 
 def row_components(documents: DataFrame, percent: int, shingle: int, recall: float = 0.99999) -> DataFrame:
-    """As ``near_duplicates``, with the ROW of ``documents``."""
+    """As ``near_duplicates``, with the ROW of ``documents`` and ``first``: whether it is the one row that stands for its component,
+    the one of the smallest id (null last) and ROW. A text without words stands for itself."""
     signed = stage(signatures(documents, shingle))
     reps = stage(signed.filter(F.col("k").isNotNull()).groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
     trees = trees_for(recall, percent / 100)
@@ -214,18 +215,20 @@ def row_components(documents: DataFrame, percent: int, shingle: int, recall: flo
     linked = components(links(sets, SetCompare(percent), SET_BLOCK))
     named = signed.select(ROW, "doc_id", "n_shingles", "k").join(linked.select(F.col("node").alias("k"), "root"), "k", "left")
     named = named.withColumn("c", F.coalesce("root", "k")).drop("root", "k")
-    alone = named.filter(F.col("c").isNull()).withColumn("component_id", F.col("doc_id"))
-    smallest = named.filter(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    out = named.filter(F.col("c").isNotNull()).join(smallest, "c").unionByName(alone)
-    return out.select(ROW, "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    alone = named.filter(F.col("c").isNull()).withColumn("component_id", F.col("doc_id")).withColumn("first", F.lit(True))
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", ROW)
+    smallest = named.filter(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(order)[ROW].alias("keeper"))
+    member = named.filter(F.col("c").isNotNull()).join(smallest, "c").withColumn("first", F.col(ROW) == F.col("keeper")).drop("keeper")
+    out = member.unionByName(alone)
+    return out.select(ROW, "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "first")
 
 
 def clean(documents: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
-    """The documents without the rows that are linked to a row of a smaller id; columns as they came.
+    """One row of every component of linked documents; columns as they came.
 
-    Rows go one by one, by a key that is written once with them: a row with a null or shared doc_id goes only if its own text
-    is a copy. Repeated rows, with one doc_id and linked texts, all stay.
+    Rows are judged one by one, by a key that is written once with them: a row with a null or shared doc_id goes only if its own
+    text is a copy. Of rows that repeat one doc_id and text a single one stays. Texts without words all stay.
     """
     docs = stage(keyed(documents))
-    gone = row_components(docs, percent, shingle).filter(~F.col("kept")).select(ROW)
+    gone = row_components(docs, percent, shingle).filter(~F.col("first")).select(ROW)
     return docs.join(gone, ROW, "left_anti").select(documents.columns)
