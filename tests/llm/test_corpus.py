@@ -89,6 +89,31 @@ def test_shards_are_even_whole_and_gapless(spark, range_rows):
     assert {(r.doc_id, r.text_crc32): r.shard for r in got} == once
 
 
+def test_shards_equal_a_plain_placement(spark):
+    """A text of a third of the rows and one row repeated again and again are split; any number of ranges gives the same shards."""
+    data = [r for r in rows() if r[0] not in (105, 106)] + [(1000 + i, "hot text", "en", "s", 8) for i in range(900)] + [(7, "hot row", "en", "s", 7)] * 700
+    table = sharding.stage(sharding.records(with_clashes(documents(spark, data))))
+    total = table.selectExpr("sum(size) AS bytes", "count(*) AS n").first()
+    keys, _ = sharding.keyed(table, total, 8)
+    order = sorted(keys.collect(), key=lambda r: (r.g, r.place, r.doc_id is not None, r.doc_id or 0, r.size))
+    units = defaultdict(int)
+    for r in order:
+        units[r.g, r.place] += r.size
+    start, before, want, slots = {}, 0, Counter(), Counter()
+    for r in order:
+        begin = start.setdefault((r.g, r.place), before)
+        shard = min(7, int((begin + units[r.g, r.place] / 2) * 8 / float(total.bytes)))
+        want[r.doc_id, r.text_crc32, shard, slots[shard]] += 1
+        slots[shard] += 1
+        before += r.size
+    for range_rows in (5, 10_000):  # hundreds of ranges, and one for each shard
+        got = sharding.shards(documents(spark, data), 8, range_rows).collect()
+        assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in got) == want
+    ranged = sharding.ranges(*sharding.keyed(table, total, 8), total, 5).groupBy("rid").count().collect()
+    assert len(ranged) > 100 and max(r["count"] for r in ranged) <= 64
+    assert max(Counter(r.shard for r in got if r.text_crc32 == zlib.crc32(b"hot row")).values()) < 700
+
+
 def test_shards_of_empty_and_tiny_tables(spark):
     assert sharding.shards(documents(spark, [])).count() == 0
     assert [(r.doc_id, r.size, r.slot) for r in sharding.shards(documents(spark, [(1, None, None, None, None)])).collect()] == [(1, 8, 0)]
