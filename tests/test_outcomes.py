@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,22 @@ def test_mcnemar(spark):
     assert [r["p"] for r in df.select(metrics.mcnemar(F.col("a"), F.col("b")).alias("p")).collect()] == pytest.approx([exact(*d) for d in data])
 
 
+def test_mcnemar_at_any_size(spark):
+    """Against exact sums on both sides of the series, and where symmetry gives the value: half of 2k + 1 tosses."""
+    def exact(a, b):
+        n, term, total = a + b, 1, 0
+        for i in range(min(a, b) + 1):
+            total += term
+            term = term * (n - i) // (i + 1)
+        return min(1.0, float(Fraction(2 * total, 2**n)))
+
+    data = [(0, 5), (31, 60), (32, 60), (33, 60), (1000, 1100), (5000, 5300)]
+    want = [exact(*d) for d in data] + [1.0, 1.0]
+    df = spark.createDataFrame([*data, (10**6, 10**6 + 1), (10**9 + 1, 10**9)], "a long, b long")
+    got = [r["p"] for r in df.select(metrics.mcnemar(F.col("a"), F.col("b")).alias("p")).collect()]
+    assert got == pytest.approx(want, abs=1e-12, rel=1e-12)
+
+
 def test_bootstrap_interval_holds_the_mean(spark):
     df = spark.createDataFrame([(v,) for v in [1] * 60 + [0] * 30 + [-1] * 10], "v int")
     r = metrics.bootstrap_interval(df, "v", replicates=400).first()

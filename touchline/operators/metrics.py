@@ -144,21 +144,40 @@ def binary_metrics(rows: DataFrame, by: Sequence[str] = (), score: str = "score"
 # Paired comparison
 # ---------------------------------------------------------------------------
 
+#: Below this many successes the probability of a count is a short product, above it Stirling's series holds to the last digit.
+SHORT = 32
+
+
+def _stirling(m: Column) -> Column:
+    """log m! beyond Stirling's formula, for m of at least SHORT."""
+    q = 1.0 / (m * m)
+    return (1 / 12 - q * (1 / 360 - q * (1 / 1260 - q / 1680))) / m
+
+
+def _log_coin(n: Column, k: Column) -> Column:
+    """Log probability of k heads in n tosses, k at most n/2. Written as a deviance, so that no large terms cancel."""
+    short = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint")), F.lit(0.0), lambda acc, i: acc + F.when(i == 0, 0.0).otherwise(F.log((n - i + 1) / i)))
+    d = (n - 2 * k) / n
+    deviance = n / 2 * ((1 + d) * F.log1p(d) + (1 - d) * F.log1p(-d))
+    scale = F.log(n / (2 * math.pi * k * (n - k))) / 2
+    return F.when(k < SHORT, short - n * math.log(2)).otherwise(_stirling(n) - _stirling(k) - _stirling(n - k) - deviance + scale)
+
+
 def mcnemar(only_first: Column, only_second: Column) -> Column:
-    """Exact two-sided p-value of discordant counts, summed in log space."""
-    n = only_first + only_second
-    k = F.least(only_first, only_second)
+    """Exact two-sided p-value of discordant counts: the probability of the smaller count times the sum of ratios below it.
+
+    Terms beyond five roots of n are less than 1e-21 of the first, so the work grows with the root of the counts.
+    """
+    n = (only_first + only_second).cast("double")
+    k = F.least(only_first, only_second).cast("double")
 
-    # log C(n, i) accumulates along i, so no factorial table is needed.
     def step(acc: Column, i: Column) -> Column:
-        log_c = acc["log_c"] + F.when(i == 0, 0.0).otherwise(F.log((n - i + 1) / F.greatest(i, F.lit(1))))
-        return F.struct(
-            log_c.alias("log_c"), (acc["total"] + F.exp(log_c - n * math.log(2))).alias("total")
-        )
+        return F.struct((acc["total"] + acc["term"]).alias("total"), (acc["term"] * (k - i) / (n - k + 1 + i)).alias("term"))
 
-    start = F.struct(F.lit(0.0).alias("log_c"), F.lit(0.0).alias("total"))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint")), start, step)["total"]
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    terms = F.least(k, F.ceil(5 * F.sqrt(n)) + 40).cast("bigint")
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(1.0).alias("term"))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), terms), start, step)["total"]
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(_log_coin(n, k)) * tail))
 
 
 def paired_contrast(pairs: DataFrame) -> DataFrame:
