@@ -261,6 +261,52 @@ def test_outputs_are_never_overwritten(spark, tmp_path):
     assert spark.read.json(out["manifiesto"]).first()["excluded_rows"] == 1
 
 
+def test_a_failure_leaves_no_output(spark, tmp_path, monkeypatch):
+    rows = cleaning.sanitise(raw(spark, [row(), EMPTY]))
+    out = tmp_path / "out"
+    left = lambda: sorted(p.name for p in out.iterdir()) if out.exists() else []
+
+    with monkeypatch.context() as broken:  # the third part fails while it is written
+        broken.setattr(cleaning, "sanitise_stats", lambda _: rows.select(F.raise_error(F.lit("lost")).alias("x")))
+        with pytest.raises(Exception, match="lost"):
+            writers.write_sanitised(rows, str(out))
+    assert left() == []
+
+    with monkeypatch.context() as raced:  # the third target appears after all parts are written
+        check, calls = writers.require_absent, []
+
+        def late(session, paths):
+            calls.append(1)
+            if len(calls) == 2:
+                raise FileExistsError("not overwritten: somebody else")
+            check(session, paths)
+
+        raced.setattr(writers, "require_absent", late)
+        with pytest.raises(FileExistsError):
+            writers.write_sanitised(rows, str(out))
+    assert left() == []
+
+    with monkeypatch.context() as stuck:  # the third rename fails: the two before are taken back
+        located, renames = writers._located, []
+
+        class Files:
+            def __init__(self, inner):
+                self.inner = inner
+
+            def __getattr__(self, name):
+                return getattr(self.inner, name)
+
+            def rename(self, a, b):
+                renames.append(b)
+                return len(renames) < 3 and self.inner.rename(a, b)
+
+        stuck.setattr(writers, "_located", lambda s, p: (Files((at := located(s, p))[0]), at[1]))
+        with pytest.raises(OSError, match="not renamed"):
+            writers.write_sanitised(rows, str(out))
+    assert len(renames) == 3 and left() == []
+    assert set(writers.write_sanitised(rows, str(out))) == set(writers.SANITISE_OUTPUTS) == set(left())
+
+
 def test_matchday_json(spark, tmp_path):
     (tmp_path / "j.json").write_text('{"jornada": 74, "partidos": [{"num": 1, "local": "Kristiansund", "q15": {"1": 69, "X": 19, "2": 12}, "apu": null}, {"num": 15, "q15": null}]}')
     rows = {r["num"]: r for r in readers.read_matchdays(spark, str(tmp_path / "j.json")).collect()}

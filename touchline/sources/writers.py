@@ -1,8 +1,9 @@
-"""Writers. Every target is checked before the first byte is written; nothing is overwritten."""
+"""Writers. Every target is checked before the first byte is written; nothing is overwritten, and a failure leaves nothing."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,15 +13,46 @@ from touchline import settings
 from touchline.operators import cleaning
 
 
+def _located(spark: SparkSession, path: str) -> tuple:
+    """File system and path as Spark itself would open them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def require_absent(spark: SparkSession, paths: Sequence[str]) -> None:
     """Fail if any target exists, before anything is written."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    taken = [p for p in paths if jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p))]
+    taken = [p for p in paths if (at := _located(spark, p))[0].exists(at[1])]
     if taken:
         raise FileExistsError(f"not overwritten: {', '.join(taken)}")
 
 
+def publish(spark: SparkSession, parts: Mapping[str, Callable[[str], None]]) -> None:
+    """Write all targets or none. ``parts`` maps a target to a function that writes it to a given path.
+
+    Every part is written beside its target under a hidden name; once all are whole they are renamed in the given order, so the
+    last one (a manifest) says that the others stand. After a failure in either phase no part and no target is left. On
+    a store whose renames are copies the second phase takes as long as copying.
+    """
+    require_absent(spark, list(parts))
+    run = uuid.uuid4().hex
+    beside = {target: "{}{}_{}-{}".format(*target.rstrip("/").rpartition("/"), run) for target in parts}
+    renamed = []
+    try:
+        for target, write in parts.items():
+            write(beside[target])
+        require_absent(spark, list(parts))  # another writer may have been faster
+        for target in parts:
+            files, to = _located(spark, target)
+            if not files.rename(_located(spark, beside[target])[1], to):
+                raise OSError(f"not renamed: {target}")
+            renamed.append(target)
+    except BaseException:
+        for path in [*renamed, *beside.values()]:
+            files, at = _located(spark, path)
+            files.delete(at, True)
+        raise
+
+
 def finite(value: Column) -> Column:
     """NaN and infinities become NULL, as JSON has neither."""
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
@@ -55,36 +87,37 @@ SANITISE_OUTPUTS = ("historico_saneado", "excluidos", "manifiesto", "estadistica
 
 
 def write_sanitised(rows: DataFrame, folder: str, **limits) -> dict[str, str]:
-    """Clean rows, excluded rows, manifest and statistics; all or nothing with respect to old files."""
-    paths = {name: f"{folder}/{name}" for name in SANITISE_OUTPUTS}
-    require_absent(rows.sparkSession, list(paths.values()))
+    """Clean rows, excluded rows, statistics and, last, the manifest; all or nothing."""
     clean, excluded = cleaning.split_outputs(rows)
-    for name, part in ((SANITISE_OUTPUTS[0], clean), (SANITISE_OUTPUTS[1], excluded)):
-        part.write.mode("errorifexists").option("header", "true").csv(paths[name])
-    manifest(rows, **limits).write.mode("errorifexists").json(paths[SANITISE_OUTPUTS[2]])
-    finite_columns(cleaning.sanitise_stats(rows)).write.mode("errorifexists").json(paths[SANITISE_OUTPUTS[3]])
-    return paths
+    as_csv = lambda df: lambda path: df.write.option("header", "true").csv(path)
+    writes = {
+        SANITISE_OUTPUTS[0]: as_csv(clean), SANITISE_OUTPUTS[1]: as_csv(excluded),
+        SANITISE_OUTPUTS[3]: lambda path: finite_columns(cleaning.sanitise_stats(rows)).write.json(path),
+        SANITISE_OUTPUTS[2]: lambda path: manifest(rows, **limits).write.json(path),
+    }
+    publish(rows.sparkSession, {f"{folder}/{name}": write for name, write in writes.items()})
+    return {name: f"{folder}/{name}" for name in SANITISE_OUTPUTS}
 
 
 def write_backtest(predictions: DataFrame, metrics: DataFrame, folder: str) -> dict[str, str]:
-    """Predictions partitioned by season and the metrics table as JSON."""
+    """Predictions partitioned by season and the metrics table as JSON; all or nothing."""
     paths = {"predictions": f"{folder}/predictions", "metrics": f"{folder}/metrics"}
-    require_absent(predictions.sparkSession, list(paths.values()))
-    predictions.write.mode("errorifexists").partitionBy("season").parquet(paths["predictions"])
-    finite_columns(metrics).write.mode("errorifexists").json(paths["metrics"])
+    publish(predictions.sparkSession, {
+        paths["predictions"]: lambda path: predictions.write.partitionBy("season").parquet(path),
+        paths["metrics"]: lambda path: finite_columns(metrics).write.json(path),
+    })
     return paths
 
 
 def write_matchdays(packages: DataFrame, folder: str) -> str:
     """Packages, contracts or predictions as JSON, one folder per matchday."""
-    require_absent(packages.sparkSession, [folder])
-    packages.write.mode("errorifexists").partitionBy("jornada").json(folder)
+    publish(packages.sparkSession, {folder: lambda path: packages.write.partitionBy("jornada").json(path)})
     return folder
 
 
 def write_missing(rows: DataFrame, folder: str) -> str:
-    require_absent(rows.sparkSession, [folder])
-    rows.orderBy("date", "division", "home").write.mode("errorifexists").option("header", "true").csv(folder)
+    ordered = rows.orderBy("date", "division", "home")
+    publish(rows.sparkSession, {folder: lambda path: ordered.write.option("header", "true").csv(path)})
     return folder
 
 
