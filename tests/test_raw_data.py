@@ -307,6 +307,27 @@ def test_a_failure_leaves_no_output(spark, tmp_path, monkeypatch):
     assert set(writers.write_sanitised(rows, str(out))) == set(writers.SANITISE_OUTPUTS) == set(left())
 
 
+def test_every_writer_refuses_a_second_run(spark, tmp_path):
+    predictions = spark.createDataFrame([(1, "2018-2019", float("nan"))], "match_id long, season string, p double")
+    days = spark.createDataFrame([(74, "x")], "jornada int, note string")
+    absent = spark.createDataFrame([("2019-01-01", "Primera", "a")], "date string, division string, home string")
+    for again in (False, True):
+        for write in (
+            lambda: writers.write_backtest(predictions, predictions, f"{tmp_path}/backtest"),
+            lambda: writers.write_matchdays(days, f"{tmp_path}/days/"),
+            lambda: writers.write_missing(absent, f"{tmp_path}/missing"),
+        ):
+            if again:
+                with pytest.raises(FileExistsError):
+                    write()
+            else:
+                write()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["backtest", "days", "missing"]
+    assert sorted(p.name for p in (tmp_path / "backtest").iterdir()) == ["metrics", "predictions"]
+    assert spark.read.json(f"{tmp_path}/days").first()["jornada"] == 74
+    assert spark.read.parquet(f"{tmp_path}/backtest/predictions").first()["season"] == "2018-2019"
+
+
 def test_matchday_json(spark, tmp_path):
     (tmp_path / "j.json").write_text('{"jornada": 74, "partidos": [{"num": 1, "local": "Kristiansund", "q15": {"1": 69, "X": 19, "2": 12}, "apu": null}, {"num": 15, "q15": null}]}')
     rows = {r["num"]: r for r in readers.read_matchdays(spark, str(tmp_path / "j.json")).collect()}
