@@ -251,6 +251,31 @@ def test_csv_files_with_different_headers(spark, tmp_path):
     assert (rows["B"]["_division"], rows["B"]["AwayTeam"], rows["B"]["_columns"]) == ("Segunda", "C", ["Date", "AwayTeam", "HomeTeam"])
 
 
+def test_headers_are_matched_by_name(spark, tmp_path):
+    files = {
+        "a": ['', '"Date","Odds, open",Odds,,Odds', '01/09/2018,"1,5",2,x,3,beyond', '02/09/2018,"say ""hi"""'],
+        "b": ["\ufeffOdds,Date\r", "7,03/09/2018\r"],
+        "c": ["Date"],
+    }
+    for name, lines in files.items():
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    rows = {r["Date"]: r for r in readers.read_raw_history(spark, str(tmp_path)).collect()}
+    assert rows["01/09/2018"]["_columns"] == ["Date", "Odds, open", "Odds", "unnamed_1", "Odds_2"]
+    first = rows["01/09/2018"]
+    assert (first["Odds, open"], first["Odds"], first["unnamed_1"], first["Odds_2"]) == ("1,5", "2", "x", "3")
+    assert rows["02/09/2018"]["Odds"] is None and rows["03/09/2018"]["Odds"] == "7" and rows["03/09/2018"]["Odds, open"] is None
+    assert len(rows) == 3 and rows["03/09/2018"]["_columns"] == ["Odds", "Date"]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        readers.read_raw_history(spark, str(tmp_path / "none"))
+
+
+def test_documents_by_line(spark, tmp_path):
+    (tmp_path / "days.json").write_text('{"jornada": 1, "partidos": [{"num": 1}]}\n{"jornada": 2, "partidos": [{"num": 1}, {"num": 2}]}\n')
+    rows = readers.read_matchdays(spark, str(tmp_path / "days.json"), lines=True)
+    assert sorted((r["jornada"], r["num"]) for r in rows.collect()) == [(1, 1), (2, 1), (2, 2)]
+
+
 def test_outputs_are_never_overwritten(spark, tmp_path):
     rows = cleaning.sanitise(raw(spark, [row(), EMPTY]))
     out = writers.write_sanitised(rows, str(tmp_path / "out"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +12,7 @@ from pyspark.sql import types as T
 from touchline.functions.text import parse_date, parse_number, repair_mojibake
 from touchline.operators.names import resolve_names
 from touchline.schemas import MATCHDAY_SCHEMA, NOTES_SCHEMA, PRIORS_SCHEMA, ROSTER_SCHEMA
+from touchline.session import stage
 
 
 def season_from_name(name: Column) -> Column:
@@ -37,49 +36,67 @@ def division_from_path(path: Column) -> Column:
     )
 
 
-def _headers(spark: SparkSession, base: str) -> dict[tuple[str, ...], list[str]]:
-    """Files by header. One task reads the start of a file, and one short row per file is returned."""
-    lines = (
+#: One cell of a header line that starts with a comma: quoted, commas included, or up to the next comma.
+_HEADER_CELL = r',("(?:[^"]|"")*"|[^,]*)'
+
+
+def header_names(line: Column) -> Column:
+    """Column names of a header line: quotes and byte order mark off, repeated and empty names numbered."""
+    bare = F.regexp_replace(F.rtrim(line), "^\ufeff", "")
+    cells = F.transform(
+        F.regexp_extract_all(F.concat(F.lit(","), bare), F.lit(_HEADER_CELL), F.lit(1)),
+        lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')),
+    )
+
+    def numbered(name: Column, i: Column) -> Column:
+        seen = F.size(F.filter(F.slice(cells, F.lit(1), i + 1), lambda c: c == name))
+        label = F.when(name == "", F.lit("unnamed")).otherwise(name)
+        return F.when((seen == 1) & (name != ""), name).otherwise(F.concat_ws("_", label, seen))
+
+    return F.transform(cells, numbered)
+
+
+def file_headers(spark: SparkSession, base: str) -> DataFrame:
+    """(path, names): the header of every CSV file below ``base``, one short row per file. Blank lines before it do not count."""
+    return (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(base)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
-        .filter(F.col("start") == 0)
-        .groupBy("path").agg(F.first("value").alias("header"))
+        .filter((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+        .groupBy(F.col("_metadata.file_path").alias("path")).agg(F.first("value").alias("header"))
+        .select("path", header_names(F.col("header")).alias("names"))
     )
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for row in lines.orderBy("path").collect():
-        names = tuple(n.strip().strip('"') for n in row["header"].lstrip("\ufeff").rstrip("\r").split(","))
-        groups[names].append(row["path"])
-    return groups
 
 
 def read_raw_history(spark: SparkSession, base: str) -> DataFrame:
-    """All history rows as strings with file metadata: one CSV scan per distinct header, then a union.
+    """All history rows as strings with file metadata: a single CSV scan of the cells by position, whatever the headers.
 
-    A single scan over files with different headers would bind columns by position.
+    Headers stay rows, one per file, and are joined to the cells by path; what reaches the driver are the distinct column
+    names and the width of the widest file. A cell finds its column through the position its own file's header gives; a column
+    the file lacks is NULL. Cells beyond the file's header are left out.
     """
-    frames = []
-    for names, paths in _headers(spark, base).items():
-        unique, seen = [], defaultdict(int)
-        for n in names:
-            seen[n] += 1
-            unique.append(n if seen[n] == 1 and n else f"{n or 'unnamed'}_{seen[n]}")
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in unique])
-        raw = (
-            spark.read.schema(schema).option("header", "true").option("enforceSchema", "true")
-            .option("mode", "PERMISSIVE").csv(paths)
-        )
-        frames.append(
-            raw.select(
-                *[F.col(f"`{n}`") for n in unique],
-                F.col("_metadata.file_name").alias("_source_file"),
-                season_from_name(F.col("_metadata.file_name")).alias("_season"),
-                division_from_path(F.col("_metadata.file_path")).alias("_division"),
-                F.array(*[F.lit(n) for n in unique]).alias("_columns"),
-            )
-        )
-    if not frames:
+    headers = stage(file_headers(spark, base))
+    named = headers.select(F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at"))
+    order = [(r["at"], r["name"]) for r in named.collect()]
+    if not order:
         raise FileNotFoundError(f"no CSV files under {base}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    names = [name for _, name in sorted(order)]
+    width = headers.agg(F.max(F.size("names"))).first()[0]
+    positions = F.array(*[F.array_position("names", F.lit(n)).cast("int") for n in names])
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    cells = (
+        spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").option("mode", "PERMISSIVE")
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(base)
+        .select(
+            F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("_cells"), F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_name").alias("_source_file"),
+        )
+    )
+    rows = cells.join(headers.select("path", F.col("names").alias("_columns"), positions.alias("_at")), "path")
+    by_name = F.struct(*[F.get("_cells", F.get("_at", F.lit(i)) - 1).alias(n) for i, n in enumerate(names)])
+    # The generator makes columns of their own: inlined into every later expression, the lookups would multiply the plan.
+    return rows.select(F.inline(F.array(by_name)), "_source_file", "path", "_columns").select(
+        *[F.col(f"`{n}`") for n in names], "_source_file", season_from_name(F.col("_source_file")).alias("_season"),
+        division_from_path(F.col("path")).alias("_division"), "_columns",
+    )
 
 
 def read_clean_history(spark: SparkSession, path: str) -> DataFrame:
@@ -93,15 +110,20 @@ def read_clean_history(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_matchdays(spark: SparkSession, path: str) -> DataFrame:
-    """Matchday JSON files to one row per match."""
-    days = spark.read.schema(MATCHDAY_SCHEMA).option("multiLine", "true").json(path)
+def _documents(spark: SparkSession, path: str, schema: T.StructType, lines: bool) -> DataFrame:
+    """JSON documents, one per file or, with ``lines``, one per line: large sets need not be a file each."""
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
+
+
+def read_matchdays(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Matchday JSON documents to one row per match."""
+    days = _documents(spark, path, MATCHDAY_SCHEMA, lines)
     return days.select("jornada", "source_url", "scraped_at", "cierre", F.inline("partidos"))
 
 
-def read_roster(spark: SparkSession, path: str) -> DataFrame:
+def read_roster(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(season, team, target_competition, status) of both competitions."""
-    raw = spark.read.schema(ROSTER_SCHEMA).option("multiLine", "true").json(path)
+    raw = _documents(spark, path, ROSTER_SCHEMA, lines)
     parts = [
         raw.select("season", F.inline(column)).withColumn("target_competition", F.lit(name))
         for column, name in (("laliga_ea_sports", "La Liga"), ("laliga_hypermotion", "Segunda Division"))
