@@ -10,7 +10,7 @@ from tests.test_outcomes import league
 from tests.test_raw_data import COLUMNS, row
 from tests.test_team_state import random_league, table
 from touchline.operators import blend, features, models, priors
-from touchline.plans import backtests, jobs
+from touchline.plans import backtests, jobs, saved_models
 
 FEED = ["match_id", "date", "league_name", "league_season", "round", "status", "home_name", "away_name", "home_goals", "away_goals", "sign"]
 
@@ -54,6 +54,57 @@ def test_history_from_files(spark, files):
     assert len(rows) == 3 and {r["season"] for r in rows} == {"2020-2021"} and rows[0]["home_xg"] is None
 
 
+def test_models_are_saved_and_loaded(spark, tmp_path, monkeypatch):
+    columns = ["elo_diff", "market_1", "table_pts_diff"]
+    train = models.with_target(features.prematch_features(table(spark, random_league(6, n=150, days=120)))).cache()
+    fitted = []
+
+    def fit():
+        logit, trees = models.LogitModel(columns, max_iter=10).fit(train), models.TreesModel(columns, rounds=2).fit(train)
+        scored = logit.score(train).join(train.select("match_id", "target"), "match_id")
+        calibrator = models.VectorScaling().fit(scored, [f"logit_prob_{s}" for s in models.PROBS])
+        fitted.append(saved_models.PredictionModels(logit, trees, blend.make_config({"logit": 0.3, "hgb": 0.7, "market": 0.0, "poisson": 0.0}), calibrator))
+        return fitted[-1]
+
+    folder = str(tmp_path / "models")
+    with pytest.raises(FileNotFoundError):
+        saved_models.load(spark, folder)
+    trained = saved_models.load_or_train(spark, folder, fit)
+    assert trained is fitted[0] and not [p for p in (tmp_path / "models").iterdir() if p.name.startswith("_")]
+    loaded = saved_models.load_or_train(spark.newSession(), folder, fit)
+    assert len(fitted) == 1 and loaded.config == trained.config and loaded.calibrator.rows == trained.calibrator.rows
+
+    def scores(m):
+        rows = models.score_sources(train, m.logit, m.trees)
+        names = [f"logit_prob_{s}" for s in models.PROBS]
+        rows = m.calibrator.transform(rows, names, [f"c_{s}" for s in models.PROBS])
+        kept = [*names, *[f"hgb_prob_{s}" for s in models.PROBS], *[f"c_{s}" for s in models.PROBS]]
+        return sorted(rows.select("match_id", *kept).collect())
+
+    assert scores(trained) == scores(loaded)
+    loaded.require_columns(train)
+    with pytest.raises(ValueError, match="elo_diff"):
+        loaded.require_columns(train.drop("elo_diff"))
+    with pytest.raises(ValueError, match="table_pts_diff"):
+        saved_models.load(spark, folder, known=["elo_diff", "market_1"])
+    with pytest.raises(FileExistsError):
+        saved_models.save(spark, trained, folder)
+    monkeypatch.setattr(saved_models, "FORMAT", 2)
+    with pytest.raises(ValueError, match="format 1"):
+        saved_models.load(spark, folder)
+
+
+def test_models_without_calibrator(spark, tmp_path):
+    train = models.with_target(features.prematch_features(table(spark, random_league(6, n=150, days=120)))).cache()
+    logit, trees = models.LogitModel(["market_1"], max_iter=5).fit(train), models.TreesModel(["market_1"], rounds=1).fit(train)
+    folder = str(tmp_path / "models")
+    saved_models.save(spark, saved_models.PredictionModels(logit, trees, blend.make_config()), folder)
+    assert saved_models.load(spark, folder).calibrator is None
+    (tmp_path / "models" / "manifest").rename(tmp_path / "manifest")  # an unfinished set is no set
+    with pytest.raises(FileNotFoundError):
+        saved_models.load(spark, folder)
+
+
 def test_matchday_prediction_and_package(spark):
     history = table(spark, random_league(6, n=150, days=120)).cache()
     columns = ["elo_diff", "market_1", "table_pts_diff"]
