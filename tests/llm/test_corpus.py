@@ -168,6 +168,65 @@ def test_pooling_does_not_depend_on_steps(monkeypatch):
     assert np.allclose(whole, quality.Pooler(vectors)(texts), atol=1e-5) and not np.isnan(whole).any()
 
 
+def test_quality_scores_equal_plain_loops(spark):
+    """Word vectors, pooling and the forward pass, worked out token by token."""
+    rng = np.random.default_rng(8)
+    words = ["river", "Stone", "cloud", "éclair", "42", "7", "!!", "naïve", "the", "of"]
+    texts = ["", None, "one", "the the the", "x\ty\nz", "a1b2--c3", *[" ".join(rng.choice(words, rng.integers(1, 40))) for _ in range(60)]]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+
+    hasher, (position, sign) = quality.RunHasher(), quality.index_vectors()
+    runs = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\x20\x09-\x0D]+")
+    of = {}
+
+    def buckets(text):
+        out = []
+        for token in runs.findall((text or "").encode()):
+            if token not in of:  # the hash of a token does not depend on where it stands
+                value, counts = hasher([token.decode()])
+                assert counts.tolist() == [1]
+                of[token] = (int(value[0]) >> 40) % quality.BUCKETS
+            out.append(of[token])
+        return out
+
+    seen, sums = Counter(), defaultdict(lambda: [0] * quality.DIMENSIONS)
+    for _, text in docs:
+        b = buckets(text)
+        for i, mine in enumerate(b):
+            seen[mine] += 1
+            for j in range(max(0, i - 2), min(len(b), i + 3)):
+                if j != i:
+                    for p, s in zip(position[b[j]], sign[b[j]], strict=True):
+                        sums[mine][p] += int(s)
+    table = quality.word_vectors(df)
+    got = {r["bucket"]: (r["n"], [r[f"v{i}"] for i in range(quality.DIMENSIONS)]) for r in table.collect()}
+    assert got == {b: (n, list(sums[b])) for b, n in seen.items()}
+
+    def unit(v):
+        size = math.sqrt(sum(x * x for x in v))
+        return [x / size if size else 0.0 for x in v]
+
+    vectors = {b: unit(sums[b]) for b in seen}
+
+    def pooled(text):
+        b = buckets(text)
+        mean = [sum(vectors[k][i] for k in b) / max(len(b), 1) for i in range(quality.DIMENSIONS)]
+        pairs = list(zip(b, b[1:]))
+        alike = sum(sum(x * y for x, y in zip(vectors[k], vectors[m])) for k, m in pairs) / max(len(pairs), 1)
+        return [*mean, alike, sum(k == m for k, m in pairs) / max(len(pairs), 1), math.sqrt(sum(x * x for x in mean)), math.log1p(len(b))]
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(docs))], "doc_id long, quality int")
+    model = quality.train(df, labels)
+    net = model.network
+    scores = {r["doc_id"]: r["score"] for r in quality.scores(df, labels).collect()}
+    for i, text in docs:
+        x = [(v - m) / s for v, m, s in zip(pooled(text), net.mean, net.scale)]
+        hidden = [math.tanh(sum(v * net.w1[k][j] for k, v in enumerate(x)) + net.b1[j]) for j in range(quality.HIDDEN)]
+        z = (sum(h * w for h, w in zip(hidden, net.w2)) + net.b2) / net.temperature
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-4)
+
+
 def test_temperature_lowers_the_loss():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(2000, 6))
@@ -214,6 +273,27 @@ def test_url_model_on_unseen_addresses():
     assert all(model(url_filter.address_of(u)) < 0.5 for u in ("https://www.python.org/tutorial/", "https://www.example.com/en/77", "https://history.museum.org/article/1"))
 
 
+@pytest.mark.parametrize("step", [1 << 18, 11])
+def test_url_scores_equal_plain_loops(monkeypatch, step):
+    monkeypatch.setattr(url_filter, "STEP", step)
+    rng = np.random.default_rng(4)
+    addresses = ["", "a", "net/", "example.com/en/304", "é.org/\n€/ü", "ab" * 400, "example.com/en/304"]
+    addresses += ["".join(rng.choice(list("abc./-1é"), rng.integers(0, 60))) for _ in range(300)]
+    row, feature = url_filter.gram_table(addresses)
+    got = defaultdict(list)
+    for i, f in zip(row.tolist(), feature.tolist(), strict=True):
+        got[i].append(f)
+    model = url_filter.train()
+    for i, a in enumerate(addresses):
+        raw = f"^{a}$".encode()
+        want = {zlib.crc32(raw[k : k + n]) % url_filter.FEATURES for n in url_filter.GRAMS for k in range(len(raw) - n + 1)}
+        assert sorted(got[i]) == sorted(want)
+        z = model.bias + sum(model.weights[f] for f in want) / math.sqrt(max(len(want), 1))
+        assert model(a) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+    assert np.allclose(model.judge(addresses), [model(a) for a in addresses], atol=1e-15)
+    assert len(model.judge([])) == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     from touchline.llm import decontamination, minhash_dedup
