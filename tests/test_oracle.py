@@ -12,6 +12,7 @@ SAMPLE = (
     "league_table", "table_positions", "recent_form", "elo_ratings", "expected_goals_and_outcomes", "ticket_blocks", "typed_history",
     "sanitised_history", "file_audit", "xg_enriched", "config_evaluation", "source_metrics", "best_tickets", "ticket_columns",
     "settled_tickets", "matchday_diagnosis", "matchday_recommendations",
+    "history_from_files", "typed_history_from_files", "published_history", "published_manifest", "xg_from_files", "matchdays_from_files", "roster_from_files",
 )
 NAMES = [n for n, q in REGISTRY.items() if q.sql] if os.environ.get("TOUCHLINE_ALL") else SAMPLE
 
