@@ -16,6 +16,8 @@ from touchline import settings
 
 TAILS = (10, 11, 12, 13, 14)
 _DIGITS = 12
+#: Column values are sums of logarithms: their last digits depend on the order of the terms.
+VALUE_DIGITS = 10
 
 
 def let(value: Column, body) -> Column:
@@ -26,6 +28,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def digits(value: Column, n: int) -> Column:
+    """``value`` in units of the n-th digit, halves away from zero."""
+    return let(value * 10.0**n, lambda x: F.when(x < 0, F.ceil(x - 0.5)).otherwise(F.floor(x + 0.5)))
+
+
 def second_probability(p: Column) -> Column:
     return F.get(F.array_sort(p), F.lit(1))
 

@@ -94,14 +94,16 @@ def ticket_columns(tickets: DataFrame, key: Sequence[str], alpha: float = 0.6) -
         F.struct(probs.alias("probs"), public.alias("public")),
         lambda v: F.transform(
             tk.columns_of(F.col("signs")),
-            lambda c, i: F.struct(
-                (-F.round(tk.column_value(c, v["probs"], v["public"], alpha), 12)).alias("k"),
-                i.alias("index"), c.alias("column"),
+            lambda c, i: (
+                tk.let(
+                    tk.column_value(c, v["probs"], v["public"], alpha),
+                    lambda x: F.struct((-tk.digits(x, tk.VALUE_DIGITS)).alias("k"), i.alias("index"), c.alias("column"), x.alias("value")),
+                )
             ),
         ),
     )
     out = out.select(*key, F.posexplode(F.array_sort(valued)).alias("rank", "c"))
-    return out.select(*key, (F.col("rank") + 1).alias("rank"), F.col("c.column").alias("column"), (-F.col("c.k")).alias("value"))
+    return out.select(*key, (F.col("rank") + 1).alias("rank"), F.col("c.column").alias("column"), F.col("c.value").alias("value"))
 
 
 def favourite_tickets(tickets: DataFrame) -> DataFrame:
