@@ -3,8 +3,10 @@
 import itertools
 import math
 import random
+from decimal import ROUND_HALF_UP, Decimal
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,56 @@ def test_ranking_and_columns(spark):
     assert columns == {"".join(c) for c in itertools.product(*signs)}
 
 
+def test_ranking_against_plain_loops(spark):
+    rng = random.Random(21)
+    df = tickets(spark, {t: random_ticket(rng, t % 2 == 0) for t in range(70)}).cache()
+    known = {r["ticket_id"]: [m["p"] for m in r["matches"]] for r in df.collect()}
+    for ranking in ops.RANKINGS:
+        got = {}
+        for r in ops.ranked_combinations(df, ["ticket_id"], ranking=ranking).collect():
+            got.setdefault(r["ticket_id"], []).append(r)
+        top = ops.ranked_combinations(df, ["ticket_id"], top=10, ranking=ranking).collect()
+        assert sorted(top) == sorted(r for rows in got.values() for r in rows if r["rank"] <= 10)
+        for t in (0, 1, 63, 64, 69):
+            assert sorted(r["combination"] for r in got[t]) == list(range(364))
+            for r in got[t][::40]:
+                covers = [sum(sorted(p)[1:]) if i in r["doubles"] else max(p) for i, p in enumerate(known[t])]
+                dist = [1.0]
+                for h in covers:
+                    dist = [a * (1 - h) + b * h for a, b in zip([*dist, 0.0], [0.0, *dist])]
+                assert r["expected_hits"] == pytest.approx(sum(covers)) and r["second_sum"] == pytest.approx(sum(sorted(known[t][i])[1] for i in r["doubles"]))
+                assert [r[f"p_ge_{k}"] for k in tk.TAILS] == pytest.approx([sum(dist[k:]) for k in tk.TAILS])
+
+
+def test_twelve_digits_as_decimal_and_binary():
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.integers(7_000_000_000_000, 9_000_000_000_000, 400) / 1e12 + 5e-13, rng.uniform(6, 9, 400)])
+    want = [int(Decimal(repr(float(v))).scaleb(12).quantize(Decimal(1), ROUND_HALF_UP)) for v in values]
+    assert ops._decimal_key(values[None]).tolist() == [want]
+    assert ops._binary_key(values[None]).tolist() == [[int(np.floor(v * 1e12 + 0.5)) for v in values]]
+
+
+def test_full_ranking_stays_out_of_row_expressions(spark):
+    """Nested lambdas over 364 combinations and 14 matches took longer than the limit at 1 GB."""
+    plan = ops.ranked_combinations(tickets(spark, {1: random_ticket(random.Random(2), False)}), ["ticket_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan
+
+
+def test_ranking_without_a_probability(spark):
+    rows = random_ticket(random.Random(4), False)
+    df = tickets(spark, {1: rows}).withColumn("matches", F.transform("matches", lambda m: F.struct(m["num"].alias("num"), F.when(m["num"] != 3, m["p"]).alias("p"))))
+    got = ops.ranked_combinations(df, ["ticket_id"]).collect()
+    assert len(got) == 364 and all(r["expected_hits"] is None and r["p_ge_10"] is None for r in got)
+
+
+def test_columns_are_ranked_on_ten_digits(spark):
+    p = [[0.4, 0.4 + 4e-12, 0.2 - 4e-12], [0.5, 0.3, 0.2], [0.5, 0.3, 0.2]] + [[0.8, 0.1, 0.1]] * 11
+    df = spark.createDataFrame([(1, [(i + 1, x, [0.4, 0.3, 0.3]) for i, x in enumerate(p)])], "ticket_id long, matches array<struct<num:int,p:array<double>,public:array<double>>>")
+    df = df.withColumn("matches", F.transform("matches", lambda m: F.struct(m["num"].alias("num"), m["p"].alias("p"), F.array(*[F.lit(1 / 3)] * 3).alias("public"))))
+    got = [r["column"][:3] for r in ops.ticket_columns(df, ["ticket_id"]).orderBy("rank").collect()]
+    assert got[:2] == ["111", "X11"]
+
+
 def test_uniform_match_plays_x2_as_double_and_1_as_single(spark):
     df = spark.createDataFrame([([1 / 3, 1 / 3, 1 / 3],)], "p array<double>")
     r = df.select(tk.double_signs(F.col("p")).alias("d"), tk.favourite(F.col("p")).alias("s")).first()

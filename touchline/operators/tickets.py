@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline import settings
 from touchline.functions import odds
@@ -56,31 +61,114 @@ def ticket_metrics(tickets: DataFrame, chosen: Column | None = None) -> DataFram
     )
 
 
-def ranked_combinations(tickets: DataFrame, key: Sequence[str], top: int | None = None) -> DataFrame:
-    """All combinations of doubles per ticket by expected hits; ``top`` limits the report.
+#: Tickets worked out together inside a task: bounds its arrays, not what is read.
+TICKETS_AT_ONCE = 64
+
+
+def _middle(p: np.ndarray) -> np.ndarray:
+    return np.sort(p, axis=2)[:, :, 1]
+
+
+def _remainder(p: np.ndarray) -> np.ndarray:
+    return p[:, :, 0] + p[:, :, 1] + p[:, :, 2] - p.max(axis=2) - p.min(axis=2)
+
+
+def _decimal_key(values: np.ndarray) -> np.ndarray:
+    """Twelve digits of the shortest decimal text, halves up; only values near a half need the text."""
+    scaled = values * 1e12
+    key = np.floor(scaled + 0.5)
+    for at in zip(*np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 0.02)):
+        key[at] = float(Decimal(repr(float(values[at]))).scaleb(12).quantize(Decimal(1), ROUND_HALF_UP))
+    return key
+
+
+def _binary_key(values: np.ndarray) -> np.ndarray:
+    """Twelve digits of the number times 1e12, halves up."""
+    return np.floor(values * 1e12 + 0.5)
+
+
+#: How the middle probability is taken, the favourites are added (1: from the first match) and twelve digits are compared.
+#: Combinations of equal value differ in their last bits; where twelve digits end on a half, these decide.
+RANKINGS = {"decimal": (_middle, 1, _decimal_key), "binary": (_remainder, -1, _binary_key)}
+
+
+def _ranked(p: np.ndarray, size: np.ndarray, ranking: str, top: int | None) -> dict[str, np.ndarray]:
+    """Columns of the ranked combinations of a few tickets. ``p`` is ticket x match x 3; matches from ``size`` on are absent."""
+    choices = np.array(list(itertools.combinations(range(p.shape[1]), settings.DOUBLES)))
+    middle, step, key_of = RANKINGS[ranking]
+    absent = np.arange(p.shape[1]) >= size[:, None]
+    best, second = p.max(axis=2), middle(p)
+    best[absent] = 0.0
+    base = np.zeros(len(p))
+    for m in range(p.shape[1])[::step]:
+        base = base + best[:, m]
+    extra = np.zeros((len(p), len(choices)))
+    for d in range(settings.DOUBLES):
+        extra = extra + second[:, choices[:, d]]
+    hits = base[:, None] + extra
+    key = key_of(hits)
+    order = np.argsort(np.where(np.isnan(key), -np.inf, -key), axis=1, kind="stable")[:, :top]
+    taken = choices[order]
+    # One convolution per match, all combinations side by side.
+    dist = np.zeros((p.shape[1] + 1, *order.shape))
+    dist[0] = 1.0
+    second = np.where(absent, 0.0, second)
+    for m in range(p.shape[1]):
+        h = best[:, m, None] + np.where((taken == m).any(axis=2), second[:, m, None], 0.0)
+        dist[1 : m + 2] = dist[1 : m + 2] * (1 - h) + dist[: m + 1] * h
+        dist[0] *= 1 - h
+    out = {
+        "rank": np.broadcast_to(np.arange(1, order.shape[1] + 1), order.shape), "combination": order,
+        "expected_hits": np.take_along_axis(hits, order, axis=1), "second_sum": np.take_along_axis(extra, order, axis=1),
+    }
+    for k in tk.TAILS:
+        tail = np.zeros(order.shape)
+        for v in dist[k:]:
+            tail = tail + v
+        out[f"p_ge_{k}"] = np.where(size[:, None] >= k, tail, np.nan)
+    return out
+
+
+def ranked_combinations(
+    tickets: DataFrame, key: Sequence[str], top: int | None = None, ranking: str = "decimal"
+) -> DataFrame:
+    """All combinations of doubles per ticket by expected hits on twelve digits, earlier ones first on a tie.
 
-    The ranking happens inside the row of the ticket.
+    ``top`` limits the report, ``ranking`` is one of ``RANKINGS``. Spark deals the tickets; a task ranks a few at a time and
+    convolves all their combinations together. A combination that lacks a probability comes first, without figures.
     """
-    matches = F.col("matches")
-    single = F.transform(matches, lambda m: F.array_max(m["p"]))
-    second = F.transform(matches, lambda m: tk.second_probability(m["p"]))
-    base = tickets.select(*key, "matches")
-    scored = tk.let(
-        F.struct(tk.total(single).alias("base"), second.alias("second")),
-        lambda v: F.transform(
-            tk.combinations_of_doubles(),
-            lambda c, i: F.struct(
-                (-F.round(v["base"] + tk.total(F.transform(c, lambda j: F.get(v["second"], j))), 12)).alias("k"),
-                i.alias("combination"), c.alias("doubles"),
-            ),
-        ),
-    )
-    ordered = F.array_sort(scored)
-    if top is not None:
-        ordered = F.slice(ordered, 1, top)
-    out = base.select(*key, "matches", F.posexplode(ordered).alias("rank", "c"))
-    out = out.select(*key, "matches", (F.col("rank") + 1).alias("rank"), "c.combination", "c.doubles")
-    return ticket_metrics(out, F.col("doubles")).drop("matches", "signs", "covers", "dist")
+    if ranking not in RANKINGS:
+        raise ValueError(f"no ranking {ranking!r}")
+    names, matches = list(key), settings.TICKET_MATCHES
+    unknown = F.array(*[F.lit(None).cast("double")] * 3)
+    flat = F.flatten(F.transform("matches", lambda m: F.coalesce(m["p"], unknown)))
+    wide = tickets.select(*names, flat.cast("array<double>").alias("_p"))
+    figures = ["expected_hits", "second_sum", *[f"p_ge_{k}" for k in tk.TAILS]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TICKETS_AT_ONCE):
+                some = batch.slice(lo, TICKETS_AT_ONCE)
+                lists = some.column(len(names))
+                size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) // 3
+                p = np.full((some.num_rows, matches * 3), np.nan)
+                p[np.arange(matches * 3) < 3 * size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+                out = _ranked(p.reshape(-1, matches, 3), size, ranking, top)
+                rows = pa.array(np.repeat(np.arange(some.num_rows), out["rank"].shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(i).take(rows) for i in range(len(names))]
+                    + [pa.array(out[c].ravel().astype(np.int32)) for c in ("rank", "combination")]
+                    + [pa.array(out[c].ravel(), from_pandas=True) for c in figures],
+                    names=[*names, "rank", "combination", *figures],
+                )
+
+    schema = T.StructType([wide.schema[c] for c in names])
+    schema = schema.add("rank", "integer").add("combination", "integer")
+    for c in figures:
+        schema = schema.add(c, "double")
+    out = wide.mapInArrow(run, schema)
+    doubles = F.get(tk.combinations_of_doubles(), F.col("combination"))
+    return out.select(*names, "rank", "combination", doubles.alias("doubles"), *figures)
 
 
 def ticket_columns(tickets: DataFrame, key: Sequence[str], alpha: float = 0.6) -> DataFrame:
