@@ -70,7 +70,7 @@ k as (select x.ticket_id, concat(x.num - 1, '|', y.num - 1, '|', w.num - 1) as d
 r as (select k.*, a.base + k.s as e, row_number() over (partition by k.ticket_id order by round(a.base + k.s, 12) desc, i, j, k.k) as rank from k join a on a.ticket_id = k.ticket_id)
 select ticket_id, cast(rank as int) as rank, doubles, round(e, 6) as expected_hits, round(s, 6) as second_sum from r where rank <= 10""")
 def top_double_combinations(spark: SparkSession, sf: str) -> DataFrame:
-    out = ops.ranked_combinations(packed(spark, sf), ["ticket_id"], top=10)
+    out = ops.ranked_combinations(packed(spark, sf), ["ticket_id"], top=10, ranking="binary")
     return out.select("ticket_id", "rank", F.array_join(F.transform("doubles", lambda i: i.cast("string")), "|").alias("doubles"), r6("expected_hits"), r6("second_sum"))
 
 
