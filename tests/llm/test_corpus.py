@@ -322,3 +322,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert as_set(seen[2][1].select("doc_id")) == as_set(fine.select("doc_id"))
     assert 0 < seen[3][1].count() <= seen[3][0].count() and seen[4][1].count() == seen[4][0].count()
     assert corpus_pipeline.run(spark, folder).count() == seen[4][1].count()
+
+
+def test_runs_are_hashed_in_bounded_slices():
+    texts = ["ab cd", "", "x" * 300_000, *[f"word{i} of text {i % 7}" for i in range(30_000)], "last"]
+    hasher = quality.RunHasher()
+    hashes, counts = hasher(texts)
+    alone = [quality.RunHasher()([t]) for t in texts[:200]]
+    assert counts[:200].tolist() == [len(a[0]) for a in alone]
+    assert hashes[: counts[:200].sum()].tolist() == [h for a in alone for h in a[0].tolist()]
+    assert len(hasher.powers) < 4 * quality.HASHED_CHARS < sum(map(len, texts)) * 2
+    assert [len(a) for a in hasher([])] == [0, 0]

@@ -29,6 +29,8 @@ MAX_LABELLED = 8_000
 THRESHOLD = 0.7
 #: Token vectors held at a time.
 STEP = 1 << 16
+#: Characters hashed at a time: a worker holds some thirty bytes for each. A longer text is hashed alone.
+HASHED_CHARS = 1 << 18
 
 
 class RunHasher(WordHasher):
@@ -43,6 +45,12 @@ class RunHasher(WordHasher):
         self.kind[[0x20, *range(0x09, 0x0E)]] = 0
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        piece = np.cumsum([len(t) for t in texts]) // HASHED_CHARS
+        border = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(texts)]
+        parts = [self._some(texts[lo:hi]) for lo, hi in zip(border, border[1:])]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         self._grow(len(data))
