@@ -267,3 +267,21 @@ def test_xg_means_are_point_in_time(spark):
     assert out[4]["xg_for_diff"] == pytest.approx(0.7)
     without = features.prematch_features(table(spark, rows).drop("home_xg", "away_xg")).filter(F.col("home_xg_5").isNotNull())
     assert without.count() == 0
+
+
+def test_places_of_newcomers_in_bounded_windows(spark):
+    rng = random.Random(17)
+    teams = {t: (rng.randrange(3), rng.randrange(-1, 2), rng.randrange(2), 0) for t in "abcdef"} | {t: (0, 0, 0, 1) for t in "bdhik"} | {"z": (-1, -2, 1, 0)}
+    old = sorted((t for t, v in teams.items() if not v[3]), key=lambda t: (-teams[t][0], -teams[t][1], -teams[t][2], t))
+    rows = [(g, f"{g}:{i}", t, i, *teams[t][:3], bool(teams[t][3]), sum(1 for o in old if (-teams[o][0], -teams[o][1], -teams[o][2], o) < (-teams[t][0], -teams[t][1], -teams[t][2], t)))
+            for g in (None, "x") for i, t in enumerate([*rng.choices("abcdefz", k=9), *rng.choices(sorted(teams), k=60), *sorted(teams), *rng.choices(sorted(teams), k=80)])]
+    df = spark.createDataFrame(rows, "g string, query_id string, team string, at long, pts int, gd int, gf int, is_new boolean, better_old long")
+    got = {r["query_id"]: r["position"] for r in form.positions_with_newcomers(df, ["g"]).collect()}
+    assert len(got) == len(rows)
+    for g, q, t, i, *_ in rows:
+        inside = {o for o in teams if not teams[o][3]} | {r[2] for r in rows if r[0] == g and r[3] <= i}
+        order = sorted(inside, key=lambda o: (-teams[o][0], -teams[o][1], -teams[o][2], o))
+        assert got[q] == order.index(t) + 1, (q, t)
+    # Rows after the last entry meet no window over the whole group: only one row a team does.
+    plan = form.positions_with_newcomers(df, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_above" in plan and "Union" in plan
