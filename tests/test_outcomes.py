@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import statistics
 from decimal import ROUND_HALF_UP, Decimal
 from fractions import Fraction
 
@@ -344,6 +345,31 @@ def test_strengths_solve_the_likelihood_equations(spark):
     assert (out["strength_home"], out["strength_away"]) == settings.FALLBACK_STRENGTH_LAMBDAS
 
 
+def test_fits_over_the_same_rows_share_one_preparation(spark, monkeypatch):
+    calls, learn = [], models.learn_preparation
+    monkeypatch.setattr(models, "learn_preparation", lambda *args: calls.append(args) or learn(*args))
+    logit, trees = backtests.fit_sources(league(spark, 200), backtests.TrainingOptions(["f1", "f2"], rounds=1, max_iter=5))
+    assert len(calls) == 1
+    assert {logit.preparation.columns, *[p.preparation.columns for p in trees.parts]} == {("f1", "f2")}
+
+
+def test_preparation_takes_exact_medians_of_all_columns(spark, monkeypatch):
+    monkeypatch.setattr(models, "MEDIAN_BINS", 4)
+    rng = random.Random(3)
+    columns = {
+        "a": [rng.gauss(0, 1e3) for _ in range(301)], "b": [float(rng.randrange(3)) for _ in range(301)], "c": [rng.random() if i % 3 else None for i in range(301)],
+        "d": [None] * 301, "e": [7.5] * 301, "f": [-1.7e308, 1.7e308, *[math.inf, math.nan, None] * 99, None, None],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    known = {c: [v for v in values if v is not None and math.isfinite(v)] for c, values in columns.items()}
+    assert models.column_medians(df, list(columns)) == {c: statistics.median_low(v) if v else None for c, v in known.items()}
+    got = models.learn_preparation(df, list("abcde"))
+    assert got.columns == tuple("abce")
+    for c in got.columns:
+        filled = [got.medians[c] if v is None else v for v in columns[c]]
+        assert (got.means[c], got.deviations[c]) == (pytest.approx(statistics.fmean(filled)), pytest.approx(statistics.pstdev(filled)))
+
+
 def test_season_backtest_runs_end_to_end(spark):
     options = backtests.TrainingOptions(["f1", "f2"], rounds=1, max_iter=15)
     configs = [blend.make_config({"logit": 0.5, "hgb": 0.2, "market": 0.2, "poisson": 0.1}), blend.make_config()]
