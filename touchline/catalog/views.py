@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.session import ship_package
+from touchline.session import keep_compiled, ship_package
 
 # One text, two engines: only constructs both dialects read the same way.
 MATCHES_SQL = """
@@ -121,6 +121,7 @@ TABLES = (
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    keep_compiled(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
