@@ -162,6 +162,21 @@ def test_score_grid(spark):
     assert rows[2]["cells"] is None and rows[2]["d0"] is None
 
 
+def test_top_scores_round_only_cells_that_may_be_among_them(spark):
+    rng = random.Random(8)
+    grids = [[(h, a, rng.choice([0.1, 0.1 + 4e-13, 0.1 - 4e-13, 0.1 - 2e-12, rng.random()])) for h in range(8) for a in range(8)] for _ in range(40)]
+    grids += [[(0, 0, 0.6), (0, 1, 0.4)], []]
+    df = spark.createDataFrame([*enumerate(grids), (99, None)], "i int, cells array<struct<hg:int,ag:int,p:double>>")
+    got = {r["i"]: r["top"] for r in df.select("i", sc.top_scores(F.col("cells"), 3).alias("top")).collect()}
+    exact = df.filter("cells is not null").select("i", F.inline("cells")).withColumn("k", F.round("p", 12)).collect()
+    for i, _ in enumerate(grids):
+        want = sorted((-r["k"], r["hg"], r["ag"]) for r in exact if r["i"] == i)[:3]
+        assert [(t["hg"], t["ag"]) for t in got[i]] == [w[1:] for w in want]
+    assert got[99] is None
+    plan = df.select(sc.top_scores(F.col("cells"), 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" in plan
+
+
 def test_buckets(spark):
     cells = [(1, 1, 0.12), (0, 0, 0.10), (3, 2, 0.08), (7, 7, 0.80)]
     df = spark.createDataFrame([(cells,)], "cells array<struct<hg:int,ag:int,p:double>>")
