@@ -99,11 +99,7 @@ def sanitise_statistics(spark: SparkSession, sf: str) -> DataFrame:
 select 'kept' as kind, concat(_division, '/', _season) as item, count(*) as rows from x where reason is null group by _division, _season
 union all select 'excluded', reason, count(*) from x where reason is not null group by reason""")
 def sanitise_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    rows = cleaning.sanitise(views.raw_history(spark, sf))
-    kept = cleaning.kept_by_division_season(rows).select(
-        F.lit("kept").alias("kind"), F.concat_ws("/", "division", "season").alias("item"), "rows"
-    )
-    return kept.unionByName(cleaning.exclusion_counts(rows).select(F.lit("excluded").alias("kind"), F.col("reason").alias("item"), "rows"))
+    return cleaning.breakdown(cleaning.sanitise(views.raw_history(spark, sf)))
 
 
 @query("SNK1 SNK4 U1")
@@ -167,7 +163,7 @@ def season_coverage(spark: SparkSession, sf: str) -> DataFrame:
 select _division as division, round(min(ovr), 6) as minimum, round(quantile_cont(ovr, 0.5), 6) as median, round(max(ovr), 6) as maximum
 from x where ovr is not null and not is_empty group by _division""")
 def overround_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    rows = facts(spark, sf).withColumn("division", F.col("_division"))
+    rows = facts(spark, sf).select(F.col("_division").alias("division"), "_overround")
     return audit.observed_distribution(rows, "_overround", ["division"])
 
 

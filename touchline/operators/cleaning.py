@@ -199,6 +199,17 @@ def kept_by_division_season(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col(REASON).isNull()).groupBy("division", "season").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def breakdown(rows: DataFrame) -> DataFrame:
+    """``kind, item, rows``: kept rows by division and season, excluded rows by reason, in one pass over the rows."""
+    kept = F.col(REASON).isNull()
+    place = [F.when(kept, F.col(c)).alias(c) for c in ("division", "season")]
+    counts = rows.groupBy(F.col(REASON).alias("reason"), *place).agg(F.count(F.lit(1)).alias("rows"))
+    kept = F.col("reason").isNull()
+    return counts.select(
+        F.when(kept, "kept").otherwise("excluded").alias("kind"), F.when(kept, F.concat_ws("/", "division", "season")).otherwise(F.col("reason")).alias("item"), "rows"
+    )
+
+
 def split_outputs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kept and excluded rows with published columns only, metadata first, lineage joined by ``|``."""
     rest = [c for c in rows.columns if c not in META_COLUMNS and c not in INTERNAL]
