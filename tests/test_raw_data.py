@@ -60,6 +60,27 @@ def test_results(spark):
     assert values(spark, ["h", "0", "1.0", "D", "2.0", "?"], odds.normalise_result) == ["1", "1", "X", "X", "2", None]
 
 
+def counted(spark, df):
+    """The rows and a number of how often one was worked out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    return df.mapInPandas(through, df.schema), seen
+
+
+def test_rows_are_worked_out_once(spark):
+    rows, seen = counted(spark, raw(spark, [row(), row(**NO_CLOSE), row(**ADMIN), EMPTY]))
+    got = {tuple(r) for r in cleaning.breakdown(cleaning.sanitise(rows)).collect()}
+    assert got == {("kept", "Segunda/2020-2021", 2), ("excluded", "EMPTY_ROW", 1), ("excluded", "ADMINISTRATIVE_CANDIDATE", 1)} and seen.value == 4
+    rows, seen = counted(spark, raw(spark, [row(), row(B365H="2.5")]))
+    audit.observed_distribution(audit.row_facts(rows), "_overround", ["_division"]).collect()
+    assert seen.value == 2
+
+
 def test_sanitise_case(spark):
     rows = cleaning.sanitise(raw(spark, [row(), row(**NO_CLOSE), row(**ADMIN), EMPTY, row(B365CH="5", B365CD="5", B365CA="5")])).cache()
     s = cleaning.sanitise_stats(rows).first()
