@@ -221,33 +221,39 @@ def split_outputs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def typed_matches(raw: DataFrame) -> DataFrame:
     """Typed match table of the model: parsed, completed by odds preference, incomplete rows dropped."""
-    raw = odds.with_parsed_odds(raw)
     present = set(raw.columns)
 
     def number(name: str) -> Column:
         return parse_number(F.col(name)) if name in present else F.lit(None).cast("double")
 
     close, opening = settings.EFFECTIVE_CLOSE_ODDS, settings.OPEN_ODDS
+    goals = ("FTHG", "FTAG")
+    read = odds.with_parsed_odds(raw, goals)
+    goal = lambda c: F.col(f"{odds.PARSED}{c}") if c in present else F.lit(None).cast("double")
     division = F.col("_division")
-    out = raw.select(
+    # Every text is read once, in a projection of its own: the rows below come from a generator, through which Spark neither moves
+    # the filter nor merges the readings, which would work out each of them twice in one method too long for the JVM to compile.
+    out = read.withColumn("_date", parse_date(F.col("Date"))).select(F.inline(F.array(F.struct(
         *[F.col(c) for c in ("match_id",) if c in present],
-        parse_date(F.col("Date")).alias("date"),
+        F.col("_date").alias("date"),
         F.trim("HomeTeam").alias("home"), F.trim("AwayTeam").alias("away"),
-        number("FTHG").alias("FTHG"), number("FTAG").alias("FTAG"),
+        *[goal(c).alias(c) for c in goals],
         odds.normalise_result(F.col("FTR")).alias("result"),
-        *[odds.first_valid_odds(close[s], raw.columns).alias(f"odd_{s.lower()}") for s in settings.SIGNS],
-        *[odds.first_valid_odds(opening[s], raw.columns).alias(f"open_odd_{s.lower()}") for s in settings.SIGNS],
-        *[number(c).alias(c) for c in settings.SHOT_COLUMNS],
+        *[odds.first_valid_odds(close[s], read.columns).alias(f"odd_{s.lower()}") for s in settings.SIGNS],
+        *[odds.first_valid_odds(opening[s], read.columns).alias(f"open_odd_{s.lower()}") for s in settings.SIGNS],
+        *[F.col(c) for c in settings.SHOT_COLUMNS if c in present],
         division.alias("division"),
         F.when(division == "Primera", 0).when(division == "Segunda", 1).otherwise(-1).alias("division_code"),
         F.col("_season").alias("season"), F.col("_source_file").alias("source_file"),
-    )
+    ))))
     required = [
         "date", "home", "away", "FTHG", "FTAG", "odd_1", "odd_x", "odd_2",
         "open_odd_1", "open_odd_x", "open_odd_2", "result",
     ]
-    return out.dropna(subset=required).withColumns(
-        {"FTHG": F.col("FTHG").cast("int"), "FTAG": F.col("FTAG").cast("int")}
+    before, after = out.columns[:out.columns.index("open_odd_2") + 1], ("division", "division_code", "season", "source_file")
+    return out.dropna(subset=required).select(
+        *[F.col(c).cast("int").alias(c) if c in goals else F.col(c) for c in before],
+        *[number(c).alias(c) for c in settings.SHOT_COLUMNS], *after,
     )
 
 
