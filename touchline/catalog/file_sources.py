@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from touchline.catalog import pools, raw_data, views
 from touchline.catalog.registry import query, r6
 from touchline.operators import cleaning
-from touchline.session import shared_folder
+from touchline.session import shared_folder, stage
 from touchline.sources import readers, writers
 
 
@@ -23,9 +23,10 @@ def new_folder(spark: SparkSession) -> str:
 
 def history_files(spark: SparkSession, sf: str) -> str:
     """A folder of CSV files named like published ones: PRIMERA/SP1_<part>_<season>.csv, two kinds of headers."""
-    raw = views.raw_history(spark, sf)
+    # The rows are derived once and not once for each kind of header.
+    raw = stage(views.raw_history(spark, sf).withColumn("old", F.size("_columns") == len(views._OLD_COLUMNS)).drop("_columns"))
     base = new_folder(spark)
-    old = F.size("_columns") == len(views._OLD_COLUMNS)
+    old = F.col("old")
     kinds = ((views._OLD_COLUMNS, old), (views._NEW_COLUMNS[::-1], ~old))  # the second header runs the other way round
     for i, (columns, which) in enumerate(kinds):
         (

@@ -163,7 +163,7 @@ def sanitise(
     out = apply_aliases(out, aliases)
     out = out.withColumn(REASON, exclusion_reason(out))
     out = out.withColumn(
-        LINEAGE, F.array_compact(F.array_append(LINEAGE, F.concat(F.lit("EXCLUDED:"), F.col(REASON))))
+        LINEAGE, F.when(F.col(REASON).isNull(), F.col(LINEAGE)).otherwise(F.array_append(LINEAGE, F.concat(F.lit("EXCLUDED:"), F.col(REASON))))
     )
     return odds.without_parsed_odds(annotate_shots(annotate_odds(out, low, high)))
 

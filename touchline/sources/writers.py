@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from touchline import settings
 from touchline.operators import cleaning
+from touchline.session import stage
 
 
 def _located(spark: SparkSession, path: str) -> tuple:
@@ -88,6 +89,8 @@ SANITISE_OUTPUTS = ("historico_saneado", "excluidos", "manifiesto", "estadistica
 
 def write_sanitised(rows: DataFrame, folder: str, **limits) -> dict[str, str]:
     """Clean rows, excluded rows, statistics and, last, the manifest; all or nothing."""
+    # Worked out once: each of the four outputs would read and judge every row again, twice where it filters by the judgement.
+    rows = stage(rows)
     clean, excluded = cleaning.split_outputs(rows)
     as_csv = lambda df: lambda path: df.write.option("header", "true").csv(path)
     writes = {
