@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.catalog import views
@@ -13,6 +13,7 @@ from touchline.catalog.team_state import CUTOFF, FORM, M, TEAM
 from touchline.operators import features as ft
 from touchline.operators import form
 from touchline.schemas import FEATURE_TABLE_COLUMNS
+from touchline.session import in_small_methods
 
 
 def _exact(sql: str) -> str:
@@ -82,8 +83,15 @@ def _selected() -> str:
     return ", ".join(f'{sql[c]} as "{c}"' if c in _TEXTS else f'round({sql[c]}, 6) + 0.0 as "{c}"' for c in FEATURE_TABLE_COLUMNS)
 
 
+def _rounded(name: str) -> Column:
+    """Six digits, halves away from zero, in plain arithmetic as the oracle has it; F.round writes and reads a text for every value."""
+    value = F.col(name).cast("double")
+    plain = F.signum(value) * (F.floor(F.abs(value) * 1e6 + 0.5) / 1e6)
+    return (F.when(F.abs(value) < 1e9, plain).otherwise(F.round(value, 6)) + F.lit(0.0)).alias(name)
+
+
 def _compared(df: DataFrame, *more: str) -> DataFrame:
-    return df.select(*more, *[F.col(c) if c in _TEXTS else (F.round(c, 6) + F.lit(0.0)).alias(c) for c in FEATURE_TABLE_COLUMNS])
+    return in_small_methods(df.select(*more, *[F.col(c) if c in _TEXTS else _rounded(c) for c in FEATURE_TABLE_COLUMNS]), "date")
 
 
 _MARKET = _exact(REGISTRY["implied_market"].sql)
