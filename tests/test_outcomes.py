@@ -9,6 +9,9 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from touchline import settings
@@ -393,6 +396,37 @@ def test_preparation_takes_exact_medians_of_all_columns(spark, monkeypatch):
         assert (got.means[c], got.deviations[c]) == (pytest.approx(statistics.fmean(filled)), pytest.approx(statistics.pstdev(filled)))
 
 
+def test_trees_of_several_labels_share_jobs_and_equal_sparks(spark):
+    """A set of trees a label was fitted side by side, a job a level each; now a level of all labels is one job over packed rows."""
+    rng = np.random.default_rng(5)
+    n = 1200
+    x = [rng.normal(size=n), rng.integers(0, 9, n).astype(float), rng.random(n) ** 3, np.full(n, 2.5), rng.integers(-3, 40, n) / 7]
+    y = [x[0] + 0.3 * x[1] - x[2] + rng.normal(size=n) > 1, x[4] * x[2] + 0.5 * rng.normal(size=n) > 0.6, np.zeros(n) > 0]
+    rows = [(i, *[float(v[i]) if i % 50 or c else None for c, v in enumerate(x)], *[bool(v[i]) for v in y]) for i in range(n)]
+    df = spark.createDataFrame(rows, "match_id long, a double, b double, c double, d double, e double, y0 boolean, y1 boolean, y2 boolean").repartition(5).cache()
+    parts = [models.BinaryTrees("abcde", rounds=4, max_depth=4, learning_rate=0.1) for _ in y]
+    context = spark.sparkContext
+    context.setJobGroup("trees", "trees")
+    models._fit_trees(parts, df, [F.col(f"y{i}") for i in range(len(y))], None)
+    jobs = len(context.statusTracker().getJobIdsForGroup("trees"))
+    context.setJobGroup("other", "other")
+    assert jobs < 3 * 4 * 4  # fewer than a job a label, round and level
+    data = VectorAssembler(inputCols=list("abcde"), outputCol="features").transform(df.fillna(parts[0].preparation.medians))
+    for i, part in enumerate(parts[:2]):
+        want = GBTClassifier(labelCol="label", maxIter=4, maxDepth=4, stepSize=0.1, minInstancesPerNode=20).fit(data.withColumn("label", F.col(f"y{i}").cast("double")))
+        both = want.transform(data).join(part.score(df), "match_id").select((F.get(vector_to_array("probability"), F.lit(1)) - F.col("score")).alias("d"))
+        assert both.agg(F.max(F.abs("d"))).first()[0] < 1e-12
+    assert {round(r["score"], 9) for r in parts[2].score(df).collect()} == {round(1 / (1 + math.exp(2 * margin)), 9) for margin in [never_margin(4, 0.1)]}
+
+
+def never_margin(rounds, rate):
+    """Margin against a label that no row has: every tree is one leaf."""
+    margin = 1.0
+    for _ in range(rounds - 1):
+        margin += rate * 4 / (1 + math.exp(2 * margin))
+    return margin
+
+
 def test_season_backtest_runs_end_to_end(spark):
     options = backtests.TrainingOptions(["f1", "f2"], rounds=1, max_iter=15)
     configs = [blend.make_config({"logit": 0.5, "hgb": 0.2, "market": 0.2, "poisson": 0.1}), blend.make_config()]

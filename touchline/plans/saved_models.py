@@ -7,12 +7,13 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel
 from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline import settings
+from touchline.operators.boosting import Ensemble
 from touchline.operators.models import BinaryTrees, LogitModel, Preparation, TreesModel, VectorScaling
 from touchline.schemas import MODEL_COLUMNS
 from touchline.sources import writers
@@ -54,11 +55,13 @@ def save(spark: SparkSession, models: PredictionModels, folder: str) -> str:
     )
     estimators: dict[str, MLWritable] = {
         "logit-division": logit.indexer, "logit-encoder": logit.encoder, "logit": logit.model,
-        **{f"trees-{k}": part.model for k, part in enumerate(trees.parts)}, **({"calibrator": scaling.model} if scaling else {}),
+        **({"calibrator": scaling.model} if scaling else {}),
     }
     parts: dict[str, Callable[[str], None]] = {
         f"{folder}/{name}": lambda path, model=model: model.write().save(path) for name, model in estimators.items()
     }
+    for k, part in enumerate(trees.parts):
+        parts[f"{folder}/trees-{k}"] = lambda path, model=part.model: model.save(spark, path)
     parts[f"{folder}/preparation"] = lambda path: spark.createDataFrame(rows, _PREPARATION).coalesce(1).write.parquet(path)
     parts[f"{folder}/manifest"] = lambda path: spark.createDataFrame([manifest], _MANIFEST).coalesce(1).write.json(path)
     writers.publish(spark, parts)
@@ -102,7 +105,7 @@ def load(spark: SparkSession, folder: str, known: Sequence[str] = MODEL_COLUMNS)
     trees = TreesModel(manifest["tree_columns"])
     trees.parts = [BinaryTrees(manifest["tree_columns"]) for _ in range(manifest["tree_parts"])]
     for k, part in enumerate(trees.parts):
-        part.preparation, part.model = preparation(f"trees-{k}"), GBTClassificationModel.load(f"{folder}/trees-{k}")
+        part.preparation, part.model = preparation(f"trees-{k}"), Ensemble.load(spark, f"{folder}/trees-{k}")
     scaling = None
     if manifest["calibrator_rows"] is not None:
         scaling = VectorScaling()
