@@ -81,6 +81,16 @@ def test_rows_are_worked_out_once(spark):
     assert seen.value == 2
 
 
+def test_distribution_writes_its_values_before_it_filters_them(spark, monkeypatch):
+    """The filter carried the whole derivation of the value a second time, pushed below every projection."""
+    staged, write = [], audit.stage
+    monkeypatch.setattr(audit, "stage", lambda df, *args: staged.append(df) or write(df, *args))
+    rows = spark.range(9).select(F.lit("a").alias("g"), F.when(F.col("id") != 3, F.col("id") * 2.0).alias("v"))
+    got = audit.observed_distribution(rows, "v", ["g"]).first()
+    assert tuple(got) == ("a", 0.0, 9.0, 16.0)
+    assert staged and "Filter" not in staged[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sanitise_case(spark):
     rows = cleaning.sanitise(raw(spark, [row(), row(**NO_CLOSE), row(**ADMIN), EMPTY, row(B365CH="5", B365CD="5", B365CA="5")])).cache()
     s = cleaning.sanitise_stats(rows).first()

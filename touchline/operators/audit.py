@@ -46,7 +46,8 @@ def observed_distribution(df: DataFrame, value: str, by: Sequence[str] = (), exa
     if not exact:
         middle = F.round(F.percentile_approx(value, 0.5, 10000), 6).alias("median")
         return known.groupBy(*by).agg(ends[0], middle, ends[1])
-    known = stage(known.select(*by, value))  # read twice: what the values come from is worked out once
+    # Written before the filter, which would carry all that the value comes from a second time, uncompiled; read twice.
+    known = stage(df.select(*by, value)).filter(F.col(value).isNotNull())
     middle = exact_median(known, value, by).withColumnsRenamed({b: f"_{b}" for b in by})
     same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] or F.lit(True)  # without groups both sides are one row
     return known.groupBy(*by).agg(*ends).join(middle, same, "left").select(*by, "minimum", F.round("median", 6).alias("median"), "maximum")
