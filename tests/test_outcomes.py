@@ -14,7 +14,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tests.test_raw_data import counted
 from touchline import settings
+from touchline.catalog import training
 from touchline.functions import probability as pr
 from touchline.functions import scores as sc
 from touchline.functions import tickets as tk
@@ -419,6 +421,19 @@ def test_trees_of_several_labels_share_jobs_and_equal_sparks(spark):
     assert {round(r["score"], 9) for r in parts[2].score(df).collect()} == {round(1 / (1 + math.exp(2 * margin)), 9) for margin in [never_margin(4, 0.1)]}
 
 
+def test_trees_read_their_rows_once(spark):
+    """Medians, deviations, bin ends and every classifier read the rows again."""
+    df = models.with_target(league(spark, 100)).select("match_id", "f1", "f2", "target").cache()
+    rows, seen = counted(spark, df)
+    models.BinaryTrees(["f1", "f2"], rounds=1, max_depth=1).fit(rows, F.col("target") == 1.0)
+    assert seen.value == df.count()
+
+
+def test_backtest_fits_all_published_rounds():
+    assert [p.rounds for p in models.TreesModel(rounds=training.BACKTEST.rounds).parts] == [settings.TREE_SETTINGS["rounds"]] * 3 == [300] * 3
+    assert training.BACKTEST.max_iter == 3500
+
+
 def never_margin(rounds, rate):
     """Margin against a label that no row has: every tree is one leaf."""
     margin = 1.0
